@@ -21,6 +21,18 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_files
+
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -34,5 +46,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_secrets, op8_quality, op10_mixing)
+    f.__name__: f for f in (op1_pii, op2_secrets, op5_token_files, op7_packing, op8_quality, op10_mixing)
 }
