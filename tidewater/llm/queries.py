@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -21,6 +22,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_files
 
@@ -39,6 +46,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(quality.ledger(table(spark, sf_dir, "documents")))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import topk
+
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
@@ -46,5 +59,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_secrets, op5_token_files, op7_packing, op8_quality, op10_mixing)
+    f.__name__: f for f in (op1_pii, op2_secrets, op3_language, op5_token_files, op7_packing, op8_quality, op9_topk, op10_mixing)
 }
