@@ -28,6 +28,12 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    return lm.perplexities(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_files
 
@@ -65,5 +71,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_secrets, op3_language, op5_token_files, op6_jaccard, op7_packing, op8_quality, op9_topk, op10_mixing)
+    f.__name__: f for f in (op1_pii, op2_secrets, op3_language, op4_lm, op5_token_files, op6_jaccard, op7_packing, op8_quality, op9_topk, op10_mixing)
 }
