@@ -126,10 +126,8 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", rule: str = "wor
         for group in runs(batches, "shard"):
             shard = group["shard"][0].as_py()
             # Rows come in any order after a shuffle; sorting makes a rerun pack alike.
-            rank = np.argsort(np.array([zlib.crc32(x.as_buffer()) for x in group["ids"]], np.int64), kind="stable")
-            doc_ids = group["doc_id"].to_pylist()
-            parts = [group["ids"][i].as_buffer() for i in sorted(rank.tolist(), key=lambda i: (doc_ids[i] is not None, doc_ids[i] or 0))]
-            doc_ids.sort(key=lambda d: (d is not None, d or 0))
+            rows_in = sorted(zip(group["doc_id"].to_pylist(), group["ids"].to_pylist(), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+            doc_ids, parts = [r[0] for r in rows_in], [r[1] for r in rows_in]
             lens = np.array([len(x) // np.dtype(kind).itemsize for x in parts], np.int64)
             ids, offsets = np.frombuffer(b"".join(parts), kind), np.concatenate([[0], np.cumsum(lens)])
             seq = order(ids, offsets, window)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, stage
-from .token_ids import Encoder, binaries, pieces
+from .token_ids import Encoder, binaries, kept_by_worker, pieces
 
 BLOCK_IDS = 1 << 19
 PART_DOCS = 4096
@@ -54,9 +54,8 @@ def unpack_codes(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
-@cache
 def encoder(name: str, rule: str, end_id: int) -> Encoder:
-    return Encoder(name, rule, end_id)
+    return kept_by_worker(("encoder", name, rule, end_id), lambda: Encoder(name, rule, end_id))
 
 
 def encoded(docs: DataFrame, tokenizer: str, rule: str, end_id: int, text: str = "text") -> DataFrame:

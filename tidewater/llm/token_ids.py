@@ -1,32 +1,43 @@
 """Token ids of texts by a public tokenizer, with a cache of pre-token runs in each worker.
 
 A text is cut where no token can cross, each distinct run is encoded once, and the ids of a text are gathered from the
-cache. The result equals encoding the whole text: see the two cutting rules. The cache is emptied when it is full; that
-costs time, never a token.
+cache. The result equals encoding the whole text: see the cutting rules. A full cache forgets its rarer runs; that costs
+time, never a token.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import repeat
+import sys
+import types
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
 
-#: At most this many cached runs, about 100 bytes each.
-CACHED_RUNS = 600_000
+#: At most this many cached runs, about 150 bytes each.
+CACHED_RUNS = 1_500_000
 #: Characters that Python's \s and the tokenizers' \s class differently; a text with one is encoded as a whole.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Runs start where a token must start: at white space (byte-level: white space goes with what follows it, and no token
+#: holds white space after something else; words: white space separates and is dropped), and after letters that an
+#: ASCII character other than a letter follows.
 CUTS = {
-    # Byte-level BPE: a token may start with white space but never holds white space after something else, so the text
-    # can be cut before each run of white space; a run goes with what follows it.
-    "byte": re.compile(r"\s*\S+|\s+"),
-    # BPE over words: white space is dropped and separates.
-    "word": re.compile(r"[^\x20\x09-\x0D]+"),
+    "byte": re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\x00-\x40\x5b-\x60\x7b-\x7f]|\Z)|\s*\S+|\s+"),
+    # For tokenizers that lower-case: texts come with ASCII letters in lower case.
+    "word": re.compile(r"[a-zß-öø-ÿ]+(?=[\x00-\x60\x7b-\x7f]|\Z)|[^\x20\x09-\x0D]+"),
 }
 
 
+def kept_by_worker(key: tuple, make):
+    """A value that outlives tasks in a worker process. (Tasks carry this package with them, and its globals go.)"""
+    store = sys.modules.setdefault("_tidewater_worker", types.ModuleType("_tidewater_worker")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def tokenizer_file(name: str) -> str:
     """Where the public tokenizer lies on this machine; a path is taken as it is."""
     if "/" in name:
@@ -45,16 +56,26 @@ class Encoder:
         # Texts with a special token's string are encoded whole: a cut could fall into it.
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([ODD_SPACE.pattern, *map(re.escape, special)]))
-        self.cut, self.end_id, self.cached = CUTS[rule], end_id, cached
-        self.forget()
-
-    def forget(self) -> None:
+        self.cut, self.lower, self.end_id, self.cached = CUTS[rule], rule == "word", end_id, cached
         self.known: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
+        self.start, self.size, self.hits = (np.zeros(1 << 16, np.int64) for _ in range(3))
         self.used = 0
 
+    def forget(self) -> None:
+        """Keeps the runs met twice or more since the last time, at most half of the cache."""
+        n = len(self.known)
+        keep = self.hits[:n] > max(1, int(np.partition(self.hits[:n], n - 1 - self.cached // 2)[n - 1 - self.cached // 2]))
+        start, size = self.start[:n][keep], self.size[:n][keep]
+        ends = np.cumsum(size)
+        ids = self.ids[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        runs = list(compress(self.known, keep.tolist()))
+        self.known = dict(zip(runs, range(len(runs)), strict=True))
+        self.used = len(ids)
+        self.ids[: self.used] = ids
+        self.start[: len(runs)], self.size[: len(runs)] = ends - size, size
+        self.hits[:] = 0
+
     def learn(self, runs: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
@@ -63,7 +84,7 @@ class Encoder:
         while len(self.ids) < self.used + len(flat):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while len(self.start) < n + more:
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+            self.start, self.size, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.hits))
         self.ids[self.used : self.used + len(flat)] = flat
         self.size[n : n + more] = sizes
         self.start[n : n + more] = self.used + np.cumsum(sizes) - sizes
@@ -83,13 +104,14 @@ class Encoder:
             if self.whole.search(text):
                 whole[i] = self.tokenizer.encode(text, add_special_tokens=False).ids
                 continue
-            own = self.cut.findall(text)
+            own = self.cut.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") if self.lower else text)
             counts[i] = len(own)
             runs += own
         at = np.fromiter(map(self.known.get, runs, repeat(-1)), np.int64, len(runs))
         if len(missing := np.flatnonzero(at < 0)):
             self.learn(list(dict.fromkeys(runs[i] for i in missing.tolist())))
             at[missing] = [self.known[runs[i]] for i in missing.tolist()]
+        self.hits[: len(self.known)] += np.bincount(at, minlength=len(self.known))
         size = self.size[at]
         run_end = np.concatenate([[0], np.cumsum(counts)])
         total = np.concatenate([[0], np.cumsum(size)])
