@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stage
-from .token_ids import Encoder, binaries, kept_by_worker, pieces
+from .common import in_pieces, shared_dir, stage
+from .token_ids import Encoder, binaries, kept_by_worker
 
 BLOCK_IDS = 1 << 19
 PART_DOCS = 4096
@@ -35,27 +35,30 @@ LENGTHS = np.array([[(c >> (2 * j) & 3) + 1 for j in range(4)] for c in range(25
 def pack_codes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """control and data bytes of unsigned 32-bit values."""
     v = values.astype("<u4")
-    length = 1 + (v >= 1 << 8).astype(np.uint8) + (v >= 1 << 16) + (v >= 1 << 24)
+    longer = [v >= 1 << bits for bits in (8, 16, 24)]
+    width = 1 + sum(x.any() for x in longer)
     padded = np.zeros(-(-len(v) // 4) * 4, np.uint8)
-    padded[: len(v)] = length - 1
+    for x in longer[: width - 1]:
+        padded[: len(v)] += x
     quads = padded.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    used = np.arange(4)[None, :] < length[:, None]
-    return control.astype(np.uint8), v.view(np.uint8).reshape(-1, 4)[used]
+    used = np.stack([np.ones(len(v), bool), *longer[: width - 1]], 1)
+    return control.astype(np.uint8), v.view(np.uint8).reshape(-1, 4)[:, :width][used]
 
 
 def unpack_codes(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    length = LENGTHS[control].reshape(-1)[:n].astype(np.int64)
-    start = np.cumsum(length) - length
-    out = np.zeros((n, 4), np.uint8)
-    for j in range(4):
-        has = length > j
-        out[has, j] = data[start[has] + j]
-    return out.view("<u4").reshape(-1)
+    length = LENGTHS[control].reshape(-1)[:n]
+    start = np.cumsum(length, dtype=np.int64)
+    start -= length
+    out = data[start].astype("<u4")
+    for j in range(1, int(length.max(initial=1))):
+        has = np.flatnonzero(length > j)
+        out[has] |= data[start[has] + j].astype("<u4") << np.uint32(8 * j)
+    return out
 
 
 def encoder(name: str, rule: str, end_id: int) -> Encoder:
-    return kept_by_worker(("encoder", name, rule, end_id), lambda: Encoder(name, rule, end_id))
+    return kept_by_worker("encoder", (name, rule, end_id), lambda: Encoder(name, rule, end_id))
 
 
 def encoded(docs: DataFrame, tokenizer: str, rule: str, end_id: int, text: str = "text") -> DataFrame:
@@ -66,9 +69,8 @@ def encoded(docs: DataFrame, tokenizer: str, rule: str, end_id: int, text: str =
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = encoder(tokenizer, rule, end_id)
         for batch in batches:
-            for at, texts in pieces(batch.column(len(keep))):
-                ids, offsets = tok.batch(texts)
-                part = batch.slice(at, len(texts))
+            for part, data, at in in_pieces(batch.rename_columns([*keep, "text"])):
+                ids, offsets = tok.batch(data, at)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), binaries(ids.astype(kind), offsets)], [*keep, "ids"])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "ids binary"])
@@ -111,9 +113,9 @@ def in_order(docs: DataFrame, tokenizer: str, rule: str, end_id: int, text: str)
         tok, kind = encoder(tokenizer, rule, end_id), id_type(tokenizer)
         part, within = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at, texts in pieces(batch.column(1)):
-                ids, offsets = tok.batch(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), part, np.int32)), batch.column(0).slice(at, len(texts)), pa.array(within + offsets[:-1]), binaries(ids.astype(kind), offsets)], ["part", "doc_id", "within", "ids"])
+            for rows, data, at in in_pieces(batch):
+                ids, offsets = tok.batch(data, at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, part, np.int32)), rows.column(0), pa.array(within + offsets[:-1]), binaries(ids.astype(kind), offsets)], ["part", "doc_id", "within", "ids"])
                 within += int(offsets[-1])
 
     return ordered.mapInArrow(placed, "part int, doc_id long, within long, ids binary")

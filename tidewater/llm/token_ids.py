@@ -1,41 +1,92 @@
 """Token ids of texts by a public tokenizer, with a cache of pre-token runs in each worker.
 
 A text is cut where no token can cross, each distinct run is encoded once, and the ids of a text are gathered from the
-cache. The result equals encoding the whole text: see the cutting rules. A full cache forgets its rarer runs; that costs
-time, never a token.
+cache. The result equals encoding the whole text. Runs start where a token must start:
+
+- after a letter (ASCII, or of the block U+00C0 to U+00FF) that an ASCII character other than a letter follows;
+- at white space after something else; byte-level: white space goes with what follows it, and no token holds white space
+  after something else; words: white space separates and is dropped.
+
+Runs are told apart by 64-bit hashes of their bytes. A full cache is emptied; that costs time, never a token.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import sys
 import types
-from itertools import compress, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-#: At most this many cached runs, about 150 bytes each.
-CACHED_RUNS = 1_500_000
-#: Characters that Python's \s and the tokenizers' \s class differently; a text with one is encoded as a whole.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: Runs start where a token must start: at white space (byte-level: white space goes with what follows it, and no token
-#: holds white space after something else; words: white space separates and is dropped), and after letters that an
-#: ASCII character other than a letter follows.
-CUTS = {
-    "byte": re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\x00-\x40\x5b-\x60\x7b-\x7f]|\Z)|\s*\S+|\s+"),
-    # For tokenizers that lower-case: texts come with ASCII letters in lower case.
-    "word": re.compile(r"[a-zß-öø-ÿ]+(?=[\x00-\x60\x7b-\x7f]|\Z)|[^\x20\x09-\x0D]+"),
-}
-
-
-def kept_by_worker(key: tuple, make):
-    """A value that outlives tasks in a worker process. (Tasks carry this package with them, and its globals go.)"""
+from .common import SPACE_BYTES, mix, powers
+
+#: At most this many cached runs, about 100 bytes each; the table has four slots for each.
+CACHED_RUNS = 1 << 20
+RULES = ("byte", "word")
+_SPACE, _ASCII_LETTER, _ASCII_OTHER = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[list(SPACE_BYTES)] = True
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_ASCII_OTHER[:128] = ~_ASCII_LETTER[:128]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def kept_by_worker(slot: str, name: object, make):
+    """A value that outlives tasks in a worker process, one for each slot. (Tasks carry this package with them, and its
+    globals go.)"""
     store = sys.modules.setdefault("_tidewater_worker", types.ModuleType("_tidewater_worker")).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    if store.get(slot, (None,))[0] != name:
+        store[slot] = (name, make())
+    return store[slot][1]
+
+
+def other_space(data: np.ndarray) -> np.ndarray:
+    """Marks the last bytes of white space characters that are not ASCII: U+0085, U+00A0, U+1680, U+2000 to U+200A,
+    U+2028, U+2029, U+202F, U+205F, U+3000."""
+    out = np.zeros(len(data), bool)
+    at = np.flatnonzero((data == 0xC2) | (data >= 0xE1) & (data <= 0xE3))
+    b0, b1, b2 = data[at], data[np.minimum(at + 1, len(data) - 1)], data[np.minimum(at + 2, len(data) - 1)]
+    two = (b0 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0))
+    wide = (b0 == 0xE2) & (b1 == 0x80) & ((b2 >= 0x80) & (b2 <= 0x8A) | (b2 == 0xA8) | (b2 == 0xA9) | (b2 == 0xAF))
+    three = wide | (b0 == 0xE2) & (b1 == 0x81) & (b2 == 0x9F) | (b0 == 0xE1) & (b1 == 0x9A) & (b2 == 0x80) | (b0 == 0xE3) & (b1 == 0x80) & (b2 == 0x80)
+    out[at[two] + 1] = out[at[three] + 2] = True
+    return out
+
+
+class Slots:
+    """A hash table from 64-bit keys to places, with linear probing, worked on by whole arrays. Key 0 is never used."""
+
+    def __init__(self, bits: int):
+        self.keys, self.places, self.mask = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), np.uint64((1 << bits) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        slot = (keys & self.mask).astype(np.int64)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.places[slot], -1).astype(np.int64)
+        left = np.flatnonzero((there != keys) & (there != 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & int(self.mask)
+            there = self.keys[slot[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.places[slot[left[hit]]]
+            left = left[~hit & (there != 0)]
+        return out
+
+    def add(self, keys: np.ndarray, places: np.ndarray) -> None:
+        """Adds distinct keys that are not there."""
+        slot, left = (keys & self.mask).astype(np.int64), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            self.keys[slot[free]] = keys[free]
+            won = free[self.keys[slot[free]] == keys[free]]
+            self.places[slot[won]] = places[won]
+            done = np.zeros(len(keys), bool)
+            done[won] = True
+            left = left[~done[left]]
+            slot[left] = (slot[left] + 1) & int(self.mask)
 
 
 def tokenizer_file(name: str) -> str:
@@ -48,103 +99,115 @@ def tokenizer_file(name: str) -> str:
 
 
 class Encoder:
+    """rule: byte for byte-level BPE; word for BPE over words that drops white space and lower-cases."""
+
     def __init__(self, name: str, rule: str, end_id: int, cached: int = CACHED_RUNS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        if rule not in RULES:
+            raise ValueError(f"rule must be one of {RULES}")
         self.tokenizer = Tokenizer.from_file(tokenizer_file(name))
         # Texts with a special token's string are encoded whole: a cut could fall into it.
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([ODD_SPACE.pattern, *map(re.escape, special)]))
-        self.cut, self.lower, self.end_id, self.cached = CUTS[rule], rule == "word", end_id, cached
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.start, self.size, self.hits = (np.zeros(1 << 16, np.int64) for _ in range(3))
-        self.used = 0
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.rule, self.end_id, self.cached = rule, end_id, cached
+        self.forget()
 
     def forget(self) -> None:
-        """Keeps the runs met twice or more since the last time, at most half of the cache."""
-        n = len(self.known)
-        keep = self.hits[:n] > max(1, int(np.partition(self.hits[:n], n - 1 - self.cached // 2)[n - 1 - self.cached // 2]))
-        start, size = self.start[:n][keep], self.size[:n][keep]
-        ends = np.cumsum(size)
-        ids = self.ids[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        runs = list(compress(self.known, keep.tolist()))
-        self.known = dict(zip(runs, range(len(runs)), strict=True))
-        self.used = len(ids)
-        self.ids[: self.used] = ids
-        self.start[: len(runs)], self.size[: len(runs)] = ends - size, size
-        self.hits[:] = 0
-
-    def learn(self, runs: list[str]) -> None:
+        self.slots = Slots(max(16, (self.cached - 1).bit_length() + 2))
+        self.known = self.used = 0
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def learn(self, keys: np.ndarray, runs: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
-        n, more = len(self.known), len(runs)
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        n, more = self.known, len(runs)
         while len(self.ids) < self.used + len(flat):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while len(self.start) < n + more:
-            self.start, self.size, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.hits))
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
         self.ids[self.used : self.used + len(flat)] = flat
         self.size[n : n + more] = sizes
         self.start[n : n + more] = self.used + np.cumsum(sizes) - sizes
-        self.known.update(zip(runs, range(n, n + more), strict=True))
+        self.slots.add(keys, np.arange(n, n + more, dtype=np.int32))
+        self.known += more
         self.used += len(flat)
 
-    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def runs(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the runs of some texts start and end."""
+        n = len(data)
+        space, letter = _SPACE[data], _ASCII_LETTER[data]
+        high = np.flatnonzero(data == 0xC3) + 1
+        high = high[high < n]
+        letter[high] = (data[high] != 0x97) & (data[high] != 0xB7)
+        cut = np.zeros(n + 1, bool)
+        before = space | other_space(data) if self.rule == "byte" else space
+        cut[1:n] = letter[:-1] & _ASCII_OTHER[data[1:]] | ~before[:-1] & space[1:]
+        cut[offsets] = True
+        if self.rule == "byte":
+            edge = np.flatnonzero(cut)
+            return edge[:-1], edge[1:]
+        cut[1:n] |= space[:-1] & ~space[1:]
+        edge = np.flatnonzero(cut)
+        some = ~space[edge[:-1]]
+        return edge[:-1][some], edge[1:][some]
+
+    def batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, each with the end id, and the n + 1 offsets."""
-        if len(self.known) > self.cached:
-            self.forget()
-        runs: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
         whole: dict[int, list[int]] = {}
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if self.whole.search(text):
-                whole[i] = self.tokenizer.encode(text, add_special_tokens=False).ids
-                continue
-            own = self.cut.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") if self.lower else text)
-            counts[i] = len(own)
-            runs += own
-        at = np.fromiter(map(self.known.get, runs, repeat(-1)), np.int64, len(runs))
+        raw = data.tobytes()
+        for s in self.special:
+            at = raw.find(s)
+            while at >= 0:
+                i = int(np.searchsorted(offsets, at, "right")) - 1
+                whole[i] = self.tokenizer.encode(raw[offsets[i] : offsets[i + 1]].decode(), add_special_tokens=False).ids
+                at = raw.find(s, int(offsets[i + 1]))
+        if self.rule == "word":
+            data = _LOWER[data]
+            raw = data.tobytes()
+        n = len(data)
+        if self.known > self.cached:
+            self.forget()
+        start, end = self.runs(data, offsets) if n else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        up, down = powers(n + 1)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+        key = mix((total[end] - total[start]) * down[start]) | np.uint64(1 << 63)
+        at = self.slots.find(key)
         if len(missing := np.flatnonzero(at < 0)):
-            self.learn(list(dict.fromkeys(runs[i] for i in missing.tolist())))
-            at[missing] = [self.known[runs[i]] for i in missing.tolist()]
-        self.hits[: len(self.known)] += np.bincount(at, minlength=len(self.known))
+            new, first, back = np.unique(key[missing], return_index=True, return_inverse=True)
+            first = missing[first]
+            for a in range(0, len(new), self.cached):
+                part = first[a : a + self.cached]
+                self.learn(new[a : a + self.cached], [raw[s:e].decode() for s, e in zip(start[part].tolist(), end[part].tolist(), strict=True)])
+            at[missing] = self.known - len(new) + back
+        bounds = np.searchsorted(start, offsets)
+        counts = np.diff(bounds)
         size = self.size[at]
-        run_end = np.concatenate([[0], np.cumsum(counts)])
-        total = np.concatenate([[0], np.cumsum(size)])
-        lens = total[run_end[1:]] - total[run_end[:-1]] + 1
+        ends = np.concatenate([[0], np.cumsum(size)])
+        lens = ends[bounds[1:]] - ends[bounds[:-1]] + 1
         for i, ids in whole.items():
             lens[i] = len(ids) + 1
-        offsets = np.concatenate([[0], np.cumsum(lens)])
-        out = np.full(offsets[-1], self.end_id, np.uint32)
-        # Where each run's ids go: the runs of a text are dense, then its end id.
-        first = np.repeat(offsets[:-1] - total[run_end[:-1]], counts) + total[:-1]
-        step = np.arange(total[-1]) - np.repeat(total[:-1], size)
-        out[np.repeat(first, size) + step] = self.ids[np.repeat(self.start[at], size) + step]
-        for i, ids in whole.items():
-            out[offsets[i] : offsets[i + 1] - 1] = ids
-        return out, offsets
-
-
-def pieces(texts: pa.Array, most_chars: int = 1 << 20):
-    """(first row, strings) of runs of about most_chars characters."""
-    texts = texts.to_pylist() if len(texts) <= 512 else texts
-    if not isinstance(texts, list):
-        for i in range(0, len(texts), 512):
-            for at, part in pieces(texts.slice(i, 512), most_chars):
-                yield i + at, part
-        return
-    at, chars = 0, 0
-    for i, t in enumerate(texts):
-        chars += len(t or "")
-        if chars >= most_chars:
-            yield at, texts[at : i + 1]
-            at, chars = i + 1, 0
-    if at < len(texts):
-        yield at, texts[at:]
+        out_offsets = np.concatenate([[0], np.cumsum(lens)])
+        out = np.full(out_offsets[-1], self.end_id, np.uint32)
+        if whole:
+            # The runs of texts that were encoded whole are left out.
+            keep = np.repeat(~np.isin(np.arange(len(counts)), list(whole)), counts)
+            first = np.repeat(out_offsets[:-1] - ends[bounds[:-1]], counts) + ends[:-1]
+            for target, source, k in zip(first[keep].tolist(), self.start[at[keep]].tolist(), size[keep].tolist(), strict=True):
+                out[target : target + k] = self.ids[source : source + k]
+            for i, ids in whole.items():
+                out[out_offsets[i] : out_offsets[i + 1] - 1] = ids
+            return out, out_offsets
+        # The runs' ids are dense but for one end id after each text.
+        step = np.arange(ends[-1])
+        inner = self.ids[np.repeat(self.start[at] - ends[:-1], size) + step]
+        mask = np.ones(out_offsets[-1], bool)
+        mask[out_offsets[1:] - 1] = False
+        out[mask] = inner
+        return out, out_offsets
 
 
 def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
