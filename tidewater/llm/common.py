@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import itertools
 import tempfile
 import uuid
@@ -171,7 +173,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def in_pieces(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def trim() -> None:
+    """Gives free memory back to the system: an executor's workers and its heap share one limit."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def in_pieces(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cuts a batch into runs of whole documents of about `most` bytes, so that numpy buffers stay small."""
     data, offsets = text_bytes(batch.column(batch.schema.get_field_index(text)))
     at, n = 0, len(offsets) - 1
@@ -179,6 +188,7 @@ def in_pieces(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 21) ->
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    trim()
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -199,6 +209,7 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
             held.append(batch.slice(a, b - a))
     if held:
         yield pa.Table.from_batches(held)
+    trim()
 
 
 def by_key(df: DataFrame, key: str, n: int | None = None) -> DataFrame:

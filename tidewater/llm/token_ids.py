@@ -22,8 +22,8 @@ import pyarrow as pa
 
 from .common import SPACE_BYTES, mix, powers
 
-#: At most this many cached runs, about 100 bytes each; the table has four slots for each.
-CACHED_RUNS = 1 << 20
+#: A cache of more runs, about 60 bytes each, is emptied before the next texts.
+CACHED_RUNS = 1 << 19
 RULES = ("byte", "word")
 _SPACE, _ASCII_LETTER, _ASCII_OTHER = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[list(SPACE_BYTES)] = True
@@ -179,9 +179,11 @@ class Encoder:
         if len(missing := np.flatnonzero(at < 0)):
             new, first, back = np.unique(key[missing], return_index=True, return_inverse=True)
             first = missing[first]
-            for a in range(0, len(new), self.cached):
-                part = first[a : a + self.cached]
-                self.learn(new[a : a + self.cached], [raw[s:e].decode() for s, e in zip(start[part].tolist(), end[part].tolist(), strict=True)])
+            if 2 * (self.known + len(new)) > len(self.slots.keys):  # a very long text
+                held = np.flatnonzero(self.slots.keys)
+                old, self.slots = self.slots, Slots((2 * (self.known + len(new)) - 1).bit_length())
+                self.slots.add(old.keys[held], old.places[held])
+            self.learn(new, [raw[s:e].decode() for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)])
             at[missing] = self.known - len(new) + back
         bounds = np.searchsorted(start, offsets)
         counts = np.diff(bounds)
