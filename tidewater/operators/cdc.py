@@ -9,8 +9,8 @@ CANAL = "database string, table string, type string, ts bigint, es bigint, isDdl
 
 
 def from_canal(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """table, op, keys, before, after (JSON), commitTimestamp, sequence, source; DDL envelopes are left out."""
-    e = df.select(F.from_json(payload, CANAL).alias("e")).filter(F.col("e").isNotNull() & ~F.coalesce(F.col("e.isDdl"), F.lit(False)))
+    """table, op, keys, before, after (JSON), commitTimestamp, sequence, source; DDL envelopes and broken payloads are left out."""
+    e = df.select(F.from_json(payload, CANAL).alias("e")).filter(F.col("e.type").isNotNull() & ~F.coalesce(F.col("e.isDdl"), F.lit(False)))
     e = e.select("e.*").select("*", F.posexplode_outer("data").alias("at", "row"))
     keys = F.map_filter("row", lambda k, _: F.array_contains("pkNames", k))
     was = F.map_concat(F.map_filter("row", lambda k, _: ~F.coalesce(F.map_contains_key(F.get("old", F.col("at")), k), F.lit(False))), F.coalesce(F.get("old", F.col("at")), F.create_map().cast("map<string,string>")))

@@ -68,7 +68,7 @@ def per_record(spark: SparkSession, sql: str, records: DataFrame, tables: dict[s
         df.createOrReplaceTempView(name)
     records.createOrReplaceTempView("__records")
     one = "(SELECT " + ", ".join(f"__o.`{c}` AS `{c}`" for c in records.columns) + ")"
-    body = re.sub(r"\bINPUT\b(?:\s+(?:AS\s+)?(?!WHERE\b|GROUP\b|ORDER\b|JOIN\b|LEFT\b|INNER\b|CROSS\b|LIMIT\b|HAVING\b|UNION\b|LATERAL\b|ON\b)([A-Za-z_]\w*))?", lambda m: f"{one} AS {m.group(1) or 'INPUT'}", sql)
+    body = re.sub(r"\bINPUT\b(?!\s*\.)(?:\s+(?:AS\s+)?(?!WHERE\b|GROUP\b|ORDER\b|JOIN\b|LEFT\b|INNER\b|CROSS\b|LIMIT\b|HAVING\b|UNION\b|LATERAL\b|ON\b)([A-Za-z_]\w*))?", lambda m: f"{one} AS {m.group(1) or 'INPUT'}", sql)
     head = ", ".join(f"__o.`{c}`" for c in keep or [])
     return spark.sql(f"SELECT {head + ', ' if head else ''}__r.* FROM __records AS __o JOIN LATERAL ({body}) AS __r")
 
