@@ -23,7 +23,7 @@ import pyarrow as pa
 from .common import SPACE_BYTES, mix, powers
 
 #: A cache of more runs, about 60 bytes each, is emptied before the next texts.
-CACHED_RUNS = 1 << 19
+CACHED_RUNS = 1 << 20
 RULES = ("byte", "word")
 _SPACE, _ASCII_LETTER, _ASCII_OTHER = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[list(SPACE_BYTES)] = True
@@ -114,7 +114,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.slots = Slots(max(16, (self.cached - 1).bit_length() + 2))
+        self.slots = Slots(max(16, (self.cached - 1).bit_length() + 1))
         self.known = self.used = 0
         self.ids = np.zeros(1 << 16, np.uint32)
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
