@@ -145,10 +145,11 @@ def regression(f: dict, types: dict[str, str], cond: Column) -> Column:
     return solve(F.array(*gram, *[total(c * y) for c in cols], total(y * y), F.count(F.when(ok, 1)).cast("double")))
 
 
-def aggregate(inputs: dict[str, DataFrame] | DataFrame, fields: list[dict], group_fields: list[str] | None = None, filter: object = None, select: list[dict] | None = None, limit: int | None = None, flatten: str | None = None) -> DataFrame:
+def aggregate(inputs: dict[str, DataFrame] | DataFrame, fields: list[dict], group_fields: list[str] | None = None, filter: object = None, select: list[dict] | None = None, limit: int | None = None, flatten: str | None = None, window: Column | None = None) -> DataFrame:
     """Groups one or several inputs by the same fields; a field with `input` counts only that input's rows.
 
     Several inputs meet in one union with their name in __input, so a group without rows of an input still appears.
+    A window (operators.windows.assigned) is one more group field, named window.
     """
     group_fields = group_fields or []
     if isinstance(inputs, dict):
@@ -163,7 +164,8 @@ def aggregate(inputs: dict[str, DataFrame] | DataFrame, fields: list[dict], grou
         if f.get("input"):
             cond = cond & (F.col("__input") == f["input"])
         cols.append(column(f["op"], f, types, cond).alias(f["name"]))
-    out = df.groupBy(*group_fields).agg(*cols)
+    out = df.groupBy(*([window.alias("window")] if window is not None else []), *group_fields).agg(*cols)
+    group_fields = [*(["window"] if window is not None else []), *group_fields]
     if filter is not None:
         out = out.filter(compile_filter(filter, types_of(out)))
     if select:

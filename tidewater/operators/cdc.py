@@ -22,6 +22,29 @@ def from_canal(df: DataFrame, payload: str = "payload") -> DataFrame:
     )
 
 
+def section(c: Column) -> Column:
+    return F.lower(F.hex(F.coalesce(c.cast("long"), F.lit(0).cast("long"))))
+
+
+def from_postgres(df: DataFrame) -> DataFrame:
+    """The same record from logical-replication rows (schema, table, op, keysJson, oldValuesJson, newValuesJson, commitLsn,
+    commitTimestamp, sequence); truncations are left out, and tables of the schema `public` keep their bare name."""
+    name = F.when(F.coalesce("schema", F.lit("public")) == "public", F.col("table")).otherwise(F.concat_ws(".", "schema", "table"))
+    return df.filter("op IN ('INSERT', 'UPDATE', 'DELETE')").select(
+        name.alias("table"), "op", F.coalesce("keysJson", F.lit("{}")).alias("keys"), F.col("oldValuesJson").alias("before"), F.col("newValuesJson").alias("after"),
+        F.col("commitTimestamp").cast("timestamp").alias("commitTimestamp"), F.concat_ws("/", section(F.col("commitLsn")), section(F.col("sequence"))).alias("sequence"), F.lit("postgres").alias("source"),
+    )
+
+
+def from_spanner(df: DataFrame) -> DataFrame:
+    """The same record from change-stream rows (tableName, modType, recordSequence, commitTimestamp, mods), one for each mod."""
+    rows = df.select("tableName", "modType", "recordSequence", F.col("commitTimestamp").cast("timestamp").alias("at"), F.posexplode("mods").alias("i", "m"))
+    return rows.select(
+        F.col("tableName").alias("table"), F.col("modType").alias("op"), F.col("m.keysJson").alias("keys"), F.col("m.oldValuesJson").alias("before"), F.when(F.col("modType") != "DELETE", F.col("m.newValuesJson")).alias("after"),
+        F.col("at").alias("commitTimestamp"), F.concat_ws("/", section(F.unix_micros("at")), section(F.col("recordSequence")), section(F.col("i"))).alias("sequence"), F.lit("spanner").alias("source"),
+    )
+
+
 def sequence_key(sequence: Column) -> Column:
     """Hexadecimal sections padded to 16, so that text order is numeric order."""
     return F.array_join(F.transform(F.split(sequence, "/"), lambda x: F.lpad(x, 16, "0")), "/")

@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 from string import Template
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, attribution, cdc, routing
+from ..operators import aggregate, attribution, buffer, cdc, routing
 from ..operators import select as selects
-from ..sources import io
+from ..operators import windows
+from ..sources import io, outbound
 from . import sqlx
 from .filters import compile_filter
 from .schema import types_of
@@ -37,7 +38,8 @@ def build(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
     """Every step's output by name, several outputs as name.tag."""
     done: dict[str, DataFrame] = {}
     for s in config.get("sources", []):
-        df = io.read(spark, s["module"], s.get("parameters", {}))
+        p = s.get("parameters", {})
+        df = outbound.act(spark, s["module"].removeprefix("action."), p) if s["module"].startswith("action.") else io.read(spark, s["module"], p)
         if s.get("timestampAttribute"):
             df = df.withColumn(selects.TIME, F.col(s["timestampAttribute"]).cast("timestamp"))
         done[s["name"]] = df
@@ -57,6 +59,23 @@ def inputs_of(t: dict) -> list[str]:
     return t.get("inputs") or [t["input"]]
 
 
+def window_of(t: dict) -> dict | None:
+    """The window of a step's strategy, or None for the global one."""
+    p = t.get("parameters", {})
+    w = (t.get("strategy") or p.get("strategy") or {}).get("window") or p.get("window")
+    return None if not w or w.get("type", "global") == "global" else w
+
+
+def assigned(w: dict) -> Column:
+    given = {"kind": w["type"], "zone": w.get("timezone"), "start": w.get("startDate"), **{k: w.get(k) for k in ("size", "unit", "period", "offset", "gap")}}
+    return windows.assigned(ts=F.col(selects.TIME), **{k: v for k, v in given.items() if v is not None})
+
+
+def timed(df: DataFrame, w: dict) -> DataFrame:
+    """A stream with the watermark that the window's allowed lateness asks for."""
+    return df.withWatermark(selects.TIME, windows.duration(w.get("allowedLateness", 0), w.get("unit", "second"))) if df.isStreaming else df
+
+
 def transform(spark: SparkSession, t: dict, inputs: dict[str, DataFrame]) -> DataFrame | dict[str, DataFrame]:
     p, module = t.get("parameters", {}), t["module"]
     one = next(iter(inputs.values())) if len(inputs) == 1 else None
@@ -67,7 +86,13 @@ def transform(spark: SparkSession, t: dict, inputs: dict[str, DataFrame]) -> Dat
         return rows.filter(compile_filter(p["filter"], types_of(rows)))
     if module == "aggregation":
         fields = p.get("fields") or [{**f, "input": a["input"]} for a in p["aggregations"] for f in a["fields"]]
-        return aggregate.aggregate(inputs if len(inputs) > 1 else one, fields, p.get("groupFields"), p.get("filter"), p.get("select"), p.get("limit"), p.get("flattenField"))
+        w = window_of(t)
+        if w:
+            inputs = {n: timed(df, w) for n, df in inputs.items()}
+        rows = inputs if len(inputs) > 1 else next(iter(inputs.values()))
+        return aggregate.aggregate(rows, fields, p.get("groupFields"), p.get("filter"), p.get("select"), p.get("limit"), p.get("flattenField"), assigned(w) if w else None)
+    if module == "buffer":
+        return buffer.buffered(rows, p["groupFields"], p.get("maxCount"), p.get("maxDurationSeconds"), p.get("includeCurrent", True), p.get("bufferFilter"), p.get("triggerFilter"), p.get("dedupFields"), p.get("fields"), p.get("orderFields"), p.get("name", "buffer"))
     if module == "partition":
         return routing.partition(rows, p["partitions"], p.get("exclusive", True))
     if module == "union":
@@ -82,7 +107,10 @@ def transform(spark: SparkSession, t: dict, inputs: dict[str, DataFrame]) -> Dat
         first, *rest = inputs
         return sqlx.per_record(spark, p["sql"], inputs[first], {n: inputs[n] for n in rest}, p.get("keep"))
     if module == "cdc":
-        out = cdc.from_canal(rows, p.get("payloadField", "payload"))
+        kind = p.get("format", "ticdc")
+        if kind not in ("ticdc", "postgres", "spanner"):
+            raise ConfigError(f"step {t['name']!r}: unknown change format {kind!r}")
+        out = cdc.from_postgres(rows) if kind == "postgres" else cdc.from_spanner(rows) if kind == "spanner" else cdc.from_canal(rows, p.get("field") or p.get("payloadField", "payload"))
         return cdc.latest(out) if p.get("accumulate") else out
     if module == "attribution":
         target, baseline = (inputs[p[k]] for k in ("target", "baseline"))
@@ -102,5 +130,8 @@ def run(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
                 raise ConfigError(f"sink {s.get('name')!r} has no input {i!r}")
             for n in names:
                 params = {k: v.replace("${input.tag}", n.rpartition(".")[2]) if isinstance(v, str) else v for k, v in s.get("parameters", {}).items()}
-                io.write(done[n], s["module"], params)
+                if s["module"].startswith("action."):
+                    done[s["name"]] = outbound.act(spark, s["module"].removeprefix("action."), params, done[n])
+                else:
+                    io.write(done[n], s["module"], params)
     return done

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.filters import compile_filter
 from ..plans.schema import struct_type, types_of
+from . import outbound
 
 SOURCES: dict[str, Callable[[SparkSession, dict], DataFrame]] = {}
 SINKS: dict[str, Callable[[DataFrame, dict], None]] = {}
@@ -167,10 +168,25 @@ def debug(df: DataFrame, p: dict) -> None:
 
 @sink("jdbc")
 def write_jdbc(df: DataFrame, p: dict) -> None:
-    mode = {"INSERT": "append"}.get(p.get("op", "INSERT"))
-    if mode is None:
-        raise NotSupportedError("jdbc upserts need a statement for the database's dialect")
-    df.write.format("jdbc").option("url", p["url"]).option("dbtable", p["table"]).option("truncate", str(bool(p.get("emptyTable"))).lower()).option("batchsize", p.get("batchSize", 1000)).mode("overwrite" if p.get("emptyTable") else mode).save()
+    """Appends, or with op INSERT_OR_UPDATE or INSERT_OR_DONOTHING puts rows by keyFields; emptyTable empties the table before."""
+    op, options = p.get("op", "INSERT"), {k: p[k] for k in ("user", "password", "driver") if k in p}
+    if op in ("INSERT_OR_UPDATE", "INSERT_OR_DONOTHING"):
+        if p.get("emptyTable"):
+            outbound.execute(df.sparkSession, p["url"], [f"DELETE FROM {p['table']}"], options)
+        return outbound.upsert(df, p["url"], p["table"], p.get("keyFields") or [], op == "INSERT_OR_UPDATE", options)
+    if op != "INSERT":
+        raise NotSupportedError(f"jdbc op {op!r}")
+    df.write.format("jdbc").option("url", p["url"]).option("dbtable", p["table"]).options(**options).option("truncate", str(bool(p.get("emptyTable"))).lower()).option("batchsize", p.get("batchSize", 1000)).mode("overwrite" if p.get("emptyTable") else "append").save()
+
+
+@sink("files")
+def write_files(df: DataFrame, p: dict) -> None:
+    outbound.write_files(df, p["output"], p.get("content"), p.get("field"))
+
+
+@sink("http")
+def write_http(df: DataFrame, p: dict) -> None:
+    outbound.write_http(df, p)
 
 
 @sink("iceberg")
