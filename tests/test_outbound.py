@@ -142,3 +142,23 @@ def test_analyzer(spark, value, tokenizer, chars, filters, want):
     full = lambda p: {"type": p} if isinstance(p, str) else p
     df = spark.createDataFrame([(value,)], "t string")
     assert df.select(text.analyzed(F.col("t"), full(tokenizer), list(map(full, chars)), list(map(full, filters)))).first()[0] == want
+
+
+@pytest.mark.parametrize("count, seconds, ttl", [(3, None, None), (None, 4, 600), (2, 3, None)])
+def test_history_on_a_stream_equals_the_table(spark, tmp_path, count, seconds, ttl):
+    rows = [("ab"[i % 2], i, at(i), i * 5 % 4) for i in range(30)]
+    kind = "k string, id int, __timestamp timestamp, x int"
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/in")
+    step = {"name": "b", "module": "buffer", "parameters": {"groupFields": ["k"], "maxCount": count, "maxDurationSeconds": seconds, "stateTtlSeconds": ttl, "bufferFilter": "x > 0", "triggerFilter": "x < 3"}}
+    ids = lambda df: df.select("id", F.transform("buffer", lambda e: e["id"]).alias("b"))
+    stream = ids(runner.transform(spark, step, {"s": spark.readStream.schema(kind).parquet(f"{tmp_path}/in")}))
+    name = f"h{uuid.uuid4().hex}"
+    stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    got, want = spark.table(name), ids(runner.transform(spark, step, {"s": spark.createDataFrame(rows, kind)}))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 10
+
+
+def test_analyzer_on_long_texts(spark):
+    df = spark.range(1).select(F.expr("repeat('word other ', 100000)").alias("t"))
+    pairs = text.analyzed(F.col("t"), {"type": "WhitespaceTokenizer"}, [{"type": "MappingCharFilter", "normMap": {"o": "0"}}], [{"type": "ShingleFilter", "outputUnigrams": False}])
+    assert df.select(F.size(pairs)).first()[0] == 199_999

@@ -9,9 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import arrays, html, matrix, seq
+from .functions import arrays, html, matrix, seq, text
 from .operators import attribution, cdc, routing
 from .operators.aggregate import aggregate, first_rows
+from .operators.buffer import buffered
 from .operators.select import TIME, select
 from .operators.windows import assigned
 from .plans import runner, sqlx
@@ -736,3 +737,46 @@ def text_tokens(spark, sf_dir):
     """Lower-cased ASCII words of three letters or more, counted."""
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("token")
     return table(spark, sf_dir, "documents").select(words).filter(F.length("token") > 2).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT token, count(*) AS n FROM (SELECT unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS token FROM
+(SELECT [t FOR t IN regexp_extract_all(lower(text), '[a-z]+') IF t NOT IN ('the', 'of')] AS w FROM documents)) GROUP BY 1""")
+def text_shingles(spark, sf_dir):
+    """Word pairs after a tokenizer, a case filter and a stop filter, counted."""
+    filters = [{"type": "LowerCaseFilter"}, {"type": "StopFilter", "words": ["the", "of"]}, {"type": "ShingleFilter", "outputUnigrams": False}]
+    pairs = text.analyzed(F.lower("text"), {"type": "SimplePatternTokenizer", "pattern": "[a-z]+"}, token_filters=filters)
+    return table(spark, sf_dir, "documents").select(F.explode(pairs).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH e AS (SELECT *, coalesce(value > 10, false) AS keep, epoch_us(ts) + event_id AS t FROM events),
+x AS (SELECT *, count(*) FILTER (keep) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS at FROM e)
+SELECT a.event_id, 1 + count(b.event_id) AS n, round(coalesce(a.value, 0) + coalesce(sum(b.value), 0), 4) AS s FROM x a
+LEFT JOIN x b ON b.user_id = a.user_id AND b.keep AND b.at <= a.at - a.keep::INT AND b.at > a.at - a.keep::INT - 4 AND b.t >= a.t - 86400000000
+GROUP BY a.event_id, a.value""")
+def buffer_history(spark, sf_dir):
+    """Each event with the kept events of its user: five at most with itself, of the last day."""
+    out = buffered(ordered(spark, sf_dir), ["user_id"], max_count=5, max_seconds=86400, buffer_filter="value > 10", fields=["value"])
+    total = F.aggregate("buffer", F.lit(0.0), lambda a, e: a + F.coalesce(e["value"], F.lit(0.0)))
+    return out.select("event_id", F.size("buffer").cast("long").alias("n"), r(total, 4).alias("s"))
+
+
+@query("SELECT o_orderkey::VARCHAR AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'S' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 3 <> 0")
+def cdc_postgres_latest(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    key = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("k")))
+
+    def change(op: str, lsn: int, status: Column) -> Column:
+        new = F.lit(None).cast("string") if op == "DELETE" else F.to_json(F.struct(status.alias("status")))
+        return F.struct(F.lit("public").alias("schema"), F.lit("orders").alias("table"), F.lit(op).alias("op"), key.alias("keysJson"), F.lit(None).cast("string").alias("oldValuesJson"), new.alias("newValuesJson"), F.lit(lsn).alias("commitLsn"), F.col("o_orderdate").alias("commitTimestamp"), F.lit(0).alias("sequence"))
+
+    # 9 < 16 as numbers, not as hexadecimal texts.
+    rows = o.select(change("INSERT", 9, F.col("o_orderstatus")).alias("c")).unionByName(o.filter("o_orderkey % 2 = 0").select(change("UPDATE", 16, F.lit("S")).alias("c"))).unionByName(o.filter("o_orderkey % 3 = 0").select(change("DELETE", 255, F.lit("")).alias("c")))
+    return cdc.latest(cdc.from_postgres(rows.select("c.*"))).select(F.get_json_object("keys", "$.k").alias("k"), F.get_json_object("after", "$.status").alias("status"))
+
+
+@query("""SELECT strftime(time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d') AS week, event_type, count(*) AS n, round(sum(value), 4) AS s FROM events GROUP BY ALL HAVING count(*) > 1""")
+def agg_windowed_step(spark, sf_dir):
+    """An aggregation step with a window strategy and a filter after it."""
+    step = {"name": "w", "module": "aggregation", "strategy": {"window": {"type": "fixed", "size": 7, "unit": "day"}}, "parameters": {"groupFields": ["event_type"], "fields": [{"name": "n", "op": "count"}, {"name": "s", "op": "sum", "field": "value"}], "filter": "n > 1"}}
+    out = runner.transform(spark, step, {"events": events(spark, sf_dir)})
+    return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("week"), "event_type", "n", r(F.col("s"), 4).alias("s"))

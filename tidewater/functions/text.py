@@ -37,8 +37,8 @@ def mapped(c: Column, p: dict) -> Column:
     keys = sorted(p["normMap"], key=len, reverse=True)
     every = "|".join(map(re.escape, keys))
     table = F.create_map(*[F.lit(x) for kv in p["normMap"].items() for x in kv])
-    found, between = F.regexp_extract_all(c, F.lit(f"({every})"), F.lit(1)), F.split(c, every, -1)
-    return F.array_join(F.transform(between, lambda s, i: F.concat(s, F.coalesce(F.element_at(table, F.get(found, i)), F.lit("")))), "")
+    parts = F.arrays_zip(F.split(c, every, -1), F.regexp_extract_all(c, F.lit(f"({every})"), F.lit(1)))
+    return F.array_join(F.transform(parts, lambda x: F.concat(x["0"], F.coalesce(F.element_at(table, x["1"]), F.lit("")))), "")
 
 
 def stripped(c: Column, p: dict) -> Column:
@@ -61,11 +61,15 @@ def pieces(c: Column, pattern: str) -> Column:
     return F.filter(F.split(c, pattern, -1), lambda t: t != "")
 
 
-def grams(t: Column, low: int, high: int, starts: Column) -> Column:
-    """The low to high characters long parts of t at the (1-based) starts."""
-    sizes = F.array(*[F.lit(n) for n in range(low, high + 1)])
-    parts = F.flatten(F.transform(starts, lambda i: F.transform(sizes, lambda n: F.when(i + n - 1 <= F.length(t), F.substring(t, i, n)))))
-    return F.filter(parts, lambda x: x.isNotNull())
+def runs(c: Column, low: int, high: int, joiner: str, single: bool = False) -> Column:
+    """The runs of low to high elements at each element of an array (after the element itself), joined.
+
+    The array is zipped with shifts of itself: inside a lambda it would be computed again for each element.
+    """
+    shifted = [F.slice(c, k + 1, F.greatest(F.size(c) - k, F.lit(0))) for k in range(high)]
+    sizes = [*([1] if single else []), *range(low, high + 1)]
+    one = lambda x: F.array(*[F.when(x[str(n - 1)].isNotNull(), F.concat_ws(joiner, *[x[str(k)] for k in range(n)])) for n in sizes])
+    return F.filter(F.flatten(F.transform(F.arrays_zip(*shifted), one)), lambda t: t.isNotNull())
 
 
 WORD = r"[\p{L}\p{N}\p{M}_]+(?:['.][\p{L}\p{N}\p{M}_]+)*"
@@ -76,7 +80,7 @@ TOKENIZERS["KeywordTokenizer"] = lambda c, p: F.filter(F.array(c), lambda t: t !
 TOKENIZERS["PatternTokenizer"] = lambda c, p: pieces(c, p["pattern"]) if int(p.get("group", -1)) < 0 else matches(c, p["pattern"], int(p["group"]))
 TOKENIZERS["SimplePatternTokenizer"] = lambda c, p: matches(c, p["pattern"])
 TOKENIZERS["SimplePatternSplitTokenizer"] = lambda c, p: pieces(c, p["pattern"])
-TOKENIZERS["NGramTokenizer"] = lambda c, p: F.when(F.length(c) > 0, grams(c, int(p.get("minGram", 1)), int(p.get("maxGram", 2)), F.sequence(F.lit(1), F.length(c)))).otherwise(F.array().cast("array<string>"))
+TOKENIZERS["NGramTokenizer"] = lambda c, p: runs(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), int(p.get("minGram", 1)), int(p.get("maxGram", 2)), "")
 
 
 def words(p: dict, default: list[str]) -> Column:
@@ -87,7 +91,7 @@ def edge(c: Column, p: dict) -> Column:
     low, high = int(p.get("min", 2)), int(p.get("max", 2))
 
     def of(t: Column) -> Column:
-        parts = grams(t, low, high, F.array(F.lit(1)))
+        parts = F.filter(F.array(*[F.when(F.length(t) >= n, F.substring(t, 1, n)) for n in range(low, high + 1)]), lambda x: x.isNotNull())
         return F.concat(parts, F.filter(F.array(t), lambda x: ~F.length(x).between(low, high))) if p.get("preserveOriginal") else parts
 
     return F.flatten(F.transform(c, of))
@@ -96,9 +100,7 @@ def edge(c: Column, p: dict) -> Column:
 def shingles(c: Column, p: dict) -> Column:
     """Runs of min to max tokens at each token, after the token itself unless outputUnigrams is false."""
     low = int(p.get("min", 2))
-    sizes = F.array(*[F.lit(n) for n in range(low, int(p.get("max", max(low, 2))) + 1)])
-    runs = lambda i: F.filter(F.transform(sizes, lambda n: F.when(i + n <= F.size(c), F.array_join(F.slice(c, i + 1, n), " "))), lambda x: x.isNotNull())
-    return F.flatten(F.transform(c, lambda t, i: F.concat(F.array(t), runs(i)) if p.get("outputUnigrams", True) else runs(i)))
+    return runs(c, low, int(p.get("max", max(low, 2))), " ", p.get("outputUnigrams", True))
 
 
 def captured(c: Column, p: dict) -> Column:

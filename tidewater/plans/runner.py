@@ -12,6 +12,7 @@ from ..operators import aggregate, attribution, buffer, cdc, routing
 from ..operators import select as selects
 from ..operators import windows
 from ..sources import io, outbound
+from ..streaming import windows as streams
 from . import sqlx
 from .filters import compile_filter
 from .schema import types_of
@@ -91,6 +92,10 @@ def transform(spark: SparkSession, t: dict, inputs: dict[str, DataFrame]) -> Dat
             inputs = {n: timed(df, w) for n, df in inputs.items()}
         rows = inputs if len(inputs) > 1 else next(iter(inputs.values()))
         return aggregate.aggregate(rows, fields, p.get("groupFields"), p.get("filter"), p.get("select"), p.get("limit"), p.get("flattenField"), assigned(w) if w else None)
+    if module == "buffer" and rows.isStreaming:
+        if p.get("dedupFields") or p.get("fields") or p.get("orderFields"):
+            raise io.NotSupportedError("dedupFields, fields and orderFields of a buffer on a stream")
+        return streams.history(rows, p["groupFields"], p.get("maxCount"), p.get("maxDurationSeconds"), p.get("includeCurrent", True), p.get("bufferFilter"), p.get("triggerFilter"), p.get("stateTtlSeconds"), name=p.get("name", "buffer"))
     if module == "buffer":
         return buffer.buffered(rows, p["groupFields"], p.get("maxCount"), p.get("maxDurationSeconds"), p.get("includeCurrent", True), p.get("bufferFilter"), p.get("triggerFilter"), p.get("dedupFields"), p.get("fields"), p.get("orderFields"), p.get("name", "buffer"))
     if module == "partition":
