@@ -6,55 +6,16 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Functions of the SQL dialect that Spark lacks, as temporary SQL functions.
-FUNCTIONS = {
-    "safe_divide(a DOUBLE, b DOUBLE) RETURNS DOUBLE": "try_divide(a, b)",
-    "safe_add(a DOUBLE, b DOUBLE) RETURNS DOUBLE": "try_add(a, b)",
-    "safe_subtract(a DOUBLE, b DOUBLE) RETURNS DOUBLE": "try_subtract(a, b)",
-    "safe_multiply(a DOUBLE, b DOUBLE) RETURNS DOUBLE": "try_multiply(a, b)",
-    "safe_negate(a DOUBLE) RETURNS DOUBLE": "-a",
-    "contains_substr(a STRING, b STRING) RETURNS BOOLEAN": "contains(lower(a), lower(b))",
-    "ends_with(a STRING, b STRING) RETURNS BOOLEAN": "endswith(a, b)",
-    "starts_with(a STRING, b STRING) RETURNS BOOLEAN": "startswith(a, b)",
-    "strpos(a STRING, b STRING) RETURNS INT": "position(b, a)",
-    "regexp_contains(a STRING, p STRING) RETURNS BOOLEAN": "a RLIKE p",
-    "array_length(a ARRAY<STRING>) RETURNS INT": "cardinality(a)",
-    "array_to_string(a ARRAY<STRING>, d STRING) RETURNS STRING": "array_join(a, d)",
-    "is_nan(a DOUBLE) RETURNS BOOLEAN": "isnan(a)",
-    "is_inf(a DOUBLE) RETURNS BOOLEAN": "abs(a) = double('infinity')",
-    "to_hex(a BINARY) RETURNS STRING": "lower(hex(a))",
-    "from_hex(a STRING) RETURNS BINARY": "unhex(a)",
-    "coth(a DOUBLE) RETURNS DOUBLE": "1 / tanh(a)",
-    "sech(a DOUBLE) RETURNS DOUBLE": "1 / cosh(a)",
-    "csch(a DOUBLE) RETURNS DOUBLE": "1 / sinh(a)",
-    "trunc_number(a DOUBLE, d INT) RETURNS DOUBLE": "sign(a) * floor(abs(a) * pow(10, d)) / pow(10, d)",
-    "ifnull_text(a STRING, b STRING) RETURNS STRING": "coalesce(a, b)",
-    "mdt_greatest_int64(a BIGINT, b BIGINT) RETURNS BIGINT": "greatest(a, b)",
-    "mdt_greatest_float64(a DOUBLE, b DOUBLE) RETURNS DOUBLE": "greatest(a, b)",
-    "mdt_least_int64(a BIGINT, b BIGINT) RETURNS BIGINT": "least(a, b)",
-    "mdt_least_float64(a DOUBLE, b DOUBLE) RETURNS DOUBLE": "least(a, b)",
-    "mdt_contains_all_int64(a ARRAY<BIGINT>, b ARRAY<BIGINT>) RETURNS BOOLEAN": "size(array_except(b, a)) = 0",
-    "mdt_contains_all_string(a ARRAY<STRING>, b ARRAY<STRING>) RETURNS BOOLEAN": "size(array_except(b, a)) = 0",
-    "time_bucket(ts TIMESTAMP, millis BIGINT) RETURNS TIMESTAMP": "timestamp_millis(CAST(floor(unix_millis(ts) / millis) * millis AS BIGINT))",
-    "array_difference(a ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE>": "transform(a, (x, i) -> if(i = 0, 0D, x - get(a, i - 1)))",
-    "array_cum_sum(a ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE>": "transform(a, (x, i) -> aggregate(slice(a, 1, i + 1), 0D, (s, y) -> s + coalesce(y, 0D)))",
-    "array_compact_runs(a ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE>": "filter(a, (x, i) -> i = 0 OR NOT (x <=> get(a, i - 1)))",
-    "mdt_cosine_similarity(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": "try_divide(aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x), sqrt(aggregate(a, 0D, (s, x) -> s + x * x)) * sqrt(aggregate(b, 0D, (s, x) -> s + x * x)))",
-}
-
-
-def register(spark: SparkSession) -> None:
-    for head, body in FUNCTIONS.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+from .dialect import translate
 
 
 def run(spark: SparkSession, sql: str, inputs: dict[str, DataFrame], args: dict | list | None = None, ddl: list[str] | None = None) -> DataFrame:
     """SQL over whole inputs, by their names."""
-    register(spark)
     for statement in ddl or []:
         spark.sql(statement)
     for name, df in inputs.items():
         df.createOrReplaceTempView(name)
+    sql = translate(spark, sql)
     return spark.sql(sql, args=args) if args else spark.sql(sql)
 
 
@@ -63,24 +24,22 @@ def per_record(spark: SparkSession, sql: str, records: DataFrame, tables: dict[s
 
     An aggregate over nothing still gives its row for each record; keep names the record's columns in the result.
     """
-    register(spark)
     for name, df in (tables or {}).items():
         df.createOrReplaceTempView(name)
     records.createOrReplaceTempView("__records")
     one = "(SELECT " + ", ".join(f"__o.`{c}` AS `{c}`" for c in records.columns) + ")"
-    body = re.sub(r"\bINPUT\b(?!\s*\.)(?:\s+(?:AS\s+)?(?!WHERE\b|GROUP\b|ORDER\b|JOIN\b|LEFT\b|INNER\b|CROSS\b|LIMIT\b|HAVING\b|UNION\b|LATERAL\b|ON\b)([A-Za-z_]\w*))?", lambda m: f"{one} AS {m.group(1) or 'INPUT'}", sql)
+    body = re.sub(r"\bINPUT\b(?!\s*\.)(?:\s+(?:AS\s+)?(?!WHERE\b|GROUP\b|ORDER\b|JOIN\b|LEFT\b|INNER\b|CROSS\b|LIMIT\b|HAVING\b|UNION\b|LATERAL\b|ON\b)([A-Za-z_]\w*))?", lambda m: f"{one} AS {m.group(1) or 'INPUT'}", translate(spark, sql, subscripts=True))
     head = ", ".join(f"__o.`{c}`" for c in keep or [])
     return spark.sql(f"SELECT {head + ', ' if head else ''}__r.* FROM __records AS __o JOIN LATERAL ({body}) AS __r")
 
 
 def session(spark: SparkSession, statements: list[dict], inputs: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Named statements in order; later ones read earlier results. Those with output false are not returned."""
-    register(spark)
     for name, df in inputs.items():
         df.createOrReplaceTempView(name)
     out = {}
     for s in statements:
-        df = spark.sql(s["sql"])
+        df = spark.sql(translate(spark, s["sql"]))
         df.createOrReplaceTempView(s["name"])
         if s.get("output", True):
             out[s["name"]] = df
