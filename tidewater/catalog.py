@@ -780,3 +780,37 @@ def agg_windowed_step(spark, sf_dir):
     step = {"name": "w", "module": "aggregation", "strategy": {"window": {"type": "fixed", "size": 7, "unit": "day"}}, "parameters": {"groupFields": ["event_type"], "fields": [{"name": "n", "op": "count"}, {"name": "s", "op": "sum", "field": "value"}], "filter": "n > 1"}}
     out = runner.transform(spark, step, {"events": events(spark, sf_dir)})
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("week"), "event_type", "n", r(F.col("s"), 4).alias("s"))
+
+
+# --- the SQL dialect -------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, nullif(regexp_extract(p_brand, '#([0-9]+)', 1), '') AS digits, len(string_split(p_type, ' '))::INTEGER AS words, trunc(p_retailprice / 7 * 100) / 100 AS cut, CASE WHEN p_size % 3 = 0 THEN NULL ELSE greatest(p_size, 25) END AS top,
+hex(encode(p_brand)) AS hex, xor(p_size, 5)::INTEGER AS bits, len(regexp_extract_all(p_name, '[aeiou]'))::INTEGER AS vowels FROM part""")
+def sql_dialect_text(spark, sf_dir):
+    sql = """SELECT p_partkey, REGEXP_EXTRACT(p_brand, '#([0-9]+)') AS digits, ARRAY_LENGTH(SPLIT(p_type, ' ')) AS words, TRUNC(p_retailprice / 7, 2) AS cut, GREATEST(IF(MOD(p_size, 3) = 0, NULL, p_size), 25) AS top,
+    UPPER(TO_HEX(p_brand)) AS hex, BITXOR(p_size, 5) AS bits, ARRAY_LENGTH(REGEXP_EXTRACT_ALL(p_name, '[aeiou]')) AS vowels FROM part"""
+    return sqlx.run(spark, sql, {"part": table(spark, sf_dir, "part")})
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate + INTERVAL 2 QUARTER, '%Y-%m-%d') AS later, date_diff('month', DATE '1992-01-15', o_orderdate::DATE)::BIGINT AS months, date_sub('day', TIMESTAMP '1992-01-01', o_orderdate)::BIGINT AS days,
+strftime(date_trunc('quarter', o_orderdate), '%d.%m.%Y') AS q, strftime(strptime('17.05.2024', '%d.%m.%Y'), '%Y-%m-%d') AS parsed FROM orders""")
+def sql_dialect_dates(spark, sf_dir):
+    sql = """SELECT o_orderkey, FORMAT_DATE('%Y-%m-%d', DATE_ADD(DATE(o_orderdate), INTERVAL 2 QUARTER)) AS later, DATE_DIFF(DATE(o_orderdate), DATE '1992-01-15', MONTH) AS months, DATETIME_DIFF(o_orderdate, DATETIME(1992, 1, 1, 0, 0, 0), DAY) AS days,
+    FORMAT_DATETIME('%d.%m.%Y', DATETIME_TRUNC(o_orderdate, QUARTER)) AS q, FORMAT_DATE('%F', PARSE_DATE('%d.%m.%Y', '17.05.2024')) AS parsed FROM orders"""
+    return sqlx.run(spark, sql, {"orders": table(spark, sf_dir, "orders")})
+
+
+@query("""WITH o AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)
+SELECT user_id, bool_or(event_type = 'view') AND bool_or(event_type = 'purchase') AS bought, round(sum(CASE WHEN i BETWEEN 2 AND 5 THEN value END), 4) AS middle, max(CASE WHEN i = 3 THEN event_type END) AS third, count(*)::INTEGER AS n FROM o GROUP BY 1""")
+def seq_sql(spark, sf_dir):
+    """Sequence functions in per-record SQL over each user's history."""
+    people = sqlx.run(spark, "SELECT user_id, transform(SEQ_COLLECT(named_struct('ts', ts, 'id', event_id), event_type, value), e -> named_struct('action', e.v1, 'value', e.v2)) AS s FROM events GROUP BY user_id", {"events": table(spark, sf_dir, "events")})
+    sql = """SELECT SEQ_RETENTION(s, 'action,value', "$action = 'view'; $action = 'purchase'")[2] AS bought, round(SEQ_FOLD(s, 2, 5, 'value', 'sum'), 4) AS middle, s[3].action AS third, CARDINALITY(s) AS n FROM INPUT"""
+    return sqlx.per_record(spark, sql, people, keep=["user_id"])
+
+
+@query("SELECT l_returnflag, round(regr_intercept(l_extendedprice, l_quantity), 2) AS b0, round(regr_slope(l_extendedprice, l_quantity), 2) AS b1 FROM lineitem GROUP BY 1")
+def linear_reg_sql(spark, sf_dir):
+    fits = sqlx.run(spark, "SELECT l_returnflag, LINEAR_REG(l_extendedprice, ARRAY[l_quantity]) AS m FROM lineitem GROUP BY l_returnflag", {"lineitem": table(spark, sf_dir, "lineitem")})
+    return sqlx.per_record(spark, "SELECT round(m[1], 2) AS b0, round(m[2], 2) AS b1 FROM INPUT", fits, keep=["l_returnflag"])
