@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import text
 from tidewater.operators import cdc
+from tidewater.operators import select as selects
 from tidewater.operators.buffer import buffered
 from tidewater.plans import runner
 from tidewater.sources import io, outbound
@@ -162,3 +163,61 @@ def test_analyzer_on_long_texts(spark):
     df = spark.range(1).select(F.expr("repeat('word other ', 100000)").alias("t"))
     pairs = text.analyzed(F.col("t"), {"type": "WhitespaceTokenizer"}, [{"type": "MappingCharFilter", "normMap": {"o": "0"}}], [{"type": "ShingleFilter", "outputUnigrams": False}])
     assert df.select(F.size(pairs)).first()[0] == 199_999
+
+
+# --- streams, dead letters and order of steps ----------------------------------------------------------------------
+
+
+def test_stream_sinks(spark, tmp_path):
+    spark.range(20).selectExpr("id", "id % 3 AS k").write.parquet(f"{tmp_path}/in")
+    config = {
+        "sources": [{"name": "s", "module": "storage", "parameters": {"input": f"{tmp_path}/in", "streaming": True}}],
+        "transforms": [{"name": "f", "module": "filter", "input": "s", "parameters": {"filter": "id >= 5"}}],
+        "sinks": [
+            {"name": "files", "module": "storage", "input": "f", "parameters": {"output": f"{tmp_path}/out/${{k}}", "trigger": {"type": "availableNow"}, "checkpointLocation": f"{tmp_path}/c1"}},
+            {"name": "each", "module": "files", "input": "f", "parameters": {"output": f"{tmp_path}/each/${{id}}.txt", "content": "${k}", "trigger": {"type": "availableNow"}, "checkpointLocation": f"{tmp_path}/c2"}},
+        ],
+    }
+    for _ in range(2):  # The second run finds nothing new.
+        done = runner.run(spark, config)
+        assert all(done[n].awaitTermination(120) for n in ("files", "each"))
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((r.id, r.k) for r in out.collect()) == [(i, i % 3) for i in range(5, 20)]
+    assert len(list((tmp_path / "each").glob("*.txt"))) == 15
+    with pytest.raises(io.NotSupportedError):
+        io.write(done["f"], "debug", {"trigger": {"type": "never"}})
+
+
+def test_dead_letters(spark):
+    config = {
+        "sources": [{"name": "s", "module": "create", "parameters": {"elements": [{"x": i, "p": "{" if i == 2 else '{"type": "INSERT", "table": "t", "pkNames": ["id"], "data": [{"id": "1"}]}'} for i in range(4)]}}],
+        "transforms": [
+            {"name": "good", "module": "select", "input": "s", "parameters": {"failFast": False, "filter": "x < 3", "fields": [{"name": "x"}, {"name": "stop", "func": "panic", "condition": "x = 1", "message": "one"}]}},
+            {"name": "changes", "module": "cdc", "input": "s", "parameters": {"failFast": False, "field": "p"}},
+        ],
+    }
+    done = runner.build(spark, config)
+    assert sorted(r.x for r in done["good"].collect()) == [0, 2]
+    (bad,) = done["good.failures"].collect()
+    assert (bad.job, bad.module, bad.error, json.loads(bad.input)["x"], bad.eventtime) == ("good", "select", "one", 1, None)
+    assert done["changes"].count() == 3 and [json.loads(r.input)["x"] for r in done["changes.failures"].collect()] == [2]
+
+
+def test_panic_rate_agrees(spark):
+    good, bad = selects.split_failures(spark.range(1000), [{"name": "p", "func": "panic", "rate": 0.3}])
+    assert good.count() + bad.count() == 1000 and good.join(bad, "id").count() == 0 and 200 < bad.count() < 400
+
+
+def test_waits_and_side_inputs(spark, tmp_path):
+    config = {
+        "sources": [
+            {"name": "back", "module": "storage", "waits": ["out"], "parameters": {"input": f"{tmp_path}/o"}},
+            {"name": "s", "module": "create", "parameters": {"elements": [{"x": 1}, {"x": 2}]}},
+            {"name": "names", "module": "create", "parameters": {"elements": [{"k": 2, "name": "two"}]}},
+        ],
+        "transforms": [{"name": "q", "module": "query", "input": "s", "sideInputs": ["names"], "parameters": {"sql": "SELECT n.name FROM INPUT AS i JOIN names AS n ON n.k = i.x", "keep": ["x"]}}],
+        "sinks": [{"name": "out", "module": "storage", "input": "q", "parameters": {"output": f"{tmp_path}/o"}}],
+    }
+    assert [tuple(r) for r in runner.run(spark, config)["back"].collect()] == [(2, "two")]
+    with pytest.raises(runner.ConfigError):
+        runner.run(spark, {"sinks": [{"name": "a", "module": "debug", "input": "b"}]})

@@ -22,6 +22,11 @@ def from_canal(df: DataFrame, payload: str = "payload") -> DataFrame:
     )
 
 
+def broken(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """The rows whose payload is no envelope, with the error."""
+    return df.filter(F.from_json(payload, CANAL)["type"].isNull()).withColumn("__error", F.lit("the payload is no change envelope"))
+
+
 def section(c: Column) -> Column:
     return F.lower(F.hex(F.coalesce(c.cast("long"), F.lit(0).cast("long"))))
 

@@ -311,6 +311,23 @@ def select(df: DataFrame, fields: list[dict], filter: object = None, group_field
     return flattened(out, flatten) if flatten else out
 
 
+def split_failures(df: DataFrame, fields: list[dict], filter: object = None) -> tuple[DataFrame, DataFrame]:
+    """The rows that no `panic` function meets, and the others with its message in __error.
+
+    A rate below one picks rows by their hash, so that both outputs agree on them, whatever is computed again.
+    """
+    types = types_of(df)
+    if filter is not None:
+        df = df.filter(compile_filter(filter, types))
+    error = F.lit(None).cast("string")
+    for f in reversed([f for f in fields if kind_of(f) == "panic"]):
+        met = F.coalesce(compile_filter(f["condition"], types), F.lit(False)) if f.get("condition") is not None else F.lit(True)
+        if float(f.get("rate", 1.0)) < 1.0:
+            met = met & (F.pmod(F.xxhash64(*df.columns), F.lit(1_000_000)) < int(float(f["rate"]) * 1_000_000))
+        error = F.when(met, F.lit(f.get("message", "panic"))).otherwise(error)
+    return df.filter(error.isNull()), df.withColumn("__error", error).filter("__error IS NOT NULL")
+
+
 def flattened(df: DataFrame, field: str) -> DataFrame:
     head, _, rest = field.partition(".")
     if not rest:

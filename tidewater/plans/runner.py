@@ -36,28 +36,63 @@ def load(text: str, args: dict | None = None) -> dict:
 
 
 def build(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
-    """Every step's output by name, several outputs as name.tag."""
-    done: dict[str, DataFrame] = {}
-    for s in config.get("sources", []):
-        p = s.get("parameters", {})
-        df = outbound.act(spark, s["module"].removeprefix("action."), p) if s["module"].startswith("action.") else io.read(spark, s["module"], p)
-        if s.get("timestampAttribute"):
-            df = df.withColumn(selects.TIME, F.col(s["timestampAttribute"]).cast("timestamp"))
-        done[s["name"]] = df
-    left = list(config.get("transforms", []))
-    while left:
-        ready = [t for t in left if all(i in done for i in inputs_of(t))]
+    """Every step's output by name, several outputs as name.tag; no sink runs."""
+    return executed(spark, [("source", s) for s in config.get("sources", [])] + [("transform", t) for t in config.get("transforms", [])])
+
+
+def executed(spark: SparkSession, steps: list[tuple[str, dict]]) -> dict:
+    """Runs the steps as their inputs, side inputs and the steps they wait for are there; sinks when nothing else is left
+    to do, so that a wrong step is found before anything is written."""
+    done: dict = {}
+    finished, names = set(), {s["name"] for _, s in steps if "name" in s}
+    here = lambda i: i in done or i.endswith(".*") and i[:-2] in finished
+    for _, s in steps:
+        if unknown := [i for i in [*inputs_of(s), *s.get("sideInputs", [])] if i.partition(".")[0] not in names and i not in names]:
+            raise ConfigError(f"step {s.get('name')!r} has unknown inputs {unknown}")
+    while steps:
+        ready = [k for k in steps if all(here(i) for i in [*inputs_of(k[1]), *k[1].get("sideInputs", [])]) and all(w in finished for w in k[1].get("waits", []) if w in names)]
         if not ready:
-            raise ConfigError(f"steps wait for unknown or circular inputs: {[t['name'] for t in left]}")
-        for t in ready:
-            out = transform(spark, t, {i: done[i] for i in inputs_of(t)})
-            done.update({t["name"]: out} if isinstance(out, DataFrame) else {f"{t['name']}.{k}": v for k, v in out.items()})
-            left.remove(t)
+            raise ConfigError(f"steps wait for unknown or circular inputs: {[s.get('name') for _, s in steps]}")
+        for kind, s in [k for k in ready if k[0] != "sink"] or ready:
+            done.update({"source": source, "transform": derived, "sink": sink}[kind](spark, s, done))
+            steps = [k for k in steps if k[1] is not s]
+            finished.add(s.get("name"))
     return done
 
 
+def source(spark: SparkSession, s: dict, done: dict) -> dict:
+    p = s.get("parameters", {})
+    df = outbound.act(spark, s["module"].removeprefix("action."), p) if s["module"].startswith("action.") else io.read(spark, s["module"], p)
+    if s.get("timestampAttribute"):
+        df = df.withColumn(selects.TIME, F.col(s["timestampAttribute"]).cast("timestamp"))
+    return {s["name"]: df}
+
+
+def derived(spark: SparkSession, t: dict, done: dict) -> dict:
+    out = transform(spark, t, {i: done[i] for i in [*inputs_of(t), *t.get("sideInputs", [])]})
+    return {t["name"]: out} if isinstance(out, DataFrame) else {f"{t['name']}.{k}" if k else t["name"]: v for k, v in out.items()}
+
+
+def sink(spark: SparkSession, s: dict, done: dict) -> dict:
+    """Writes its inputs; an input like name.* goes to one sink for each tag. A stream's query comes back by the sink's
+    name (and tag), an action's result too."""
+    out = {}
+    for i in inputs_of(s):
+        names = [n for n in done if n.startswith(i[:-1])] if i.endswith(".*") else [i]
+        for n in names:
+            tag = n.rpartition(".")[2]
+            params = {k: v.replace("${input.tag}", tag) if isinstance(v, str) else v for k, v in s.get("parameters", {}).items()}
+            if s["module"].startswith("action."):
+                out[s["name"]] = outbound.act(spark, s["module"].removeprefix("action."), params, done[n])
+            else:
+                query = io.write(done[n], s["module"], params, s.get("name"))
+                if query is not None:
+                    out[f"{s['name']}.{tag}" if i.endswith(".*") else s["name"]] = query
+    return out
+
+
 def inputs_of(t: dict) -> list[str]:
-    return t.get("inputs") or [t["input"]]
+    return t.get("inputs") or ([t["input"]] if "input" in t else [])
 
 
 def window_of(t: dict) -> dict | None:
@@ -77,10 +112,21 @@ def timed(df: DataFrame, w: dict) -> DataFrame:
     return df.withWatermark(selects.TIME, windows.duration(w.get("allowedLateness", 0), w.get("unit", "second"))) if df.isStreaming else df
 
 
+def failures(rows: DataFrame, t: dict) -> DataFrame:
+    """Dead letters: rows with their error in __error, as records of one form for all steps."""
+    at = F.col(selects.TIME).cast("timestamp") if selects.TIME in rows.columns else F.lit(None).cast("timestamp")
+    kept = [c for c in rows.columns if c != "__error"]
+    return rows.select(F.lit(t["name"]).alias("job"), F.lit(t["module"]).alias("module"), F.to_json(F.struct(*kept)).alias("input"), F.col("__error").alias("error"), F.current_timestamp().alias("timestamp"), at.alias("eventtime"))
+
+
 def transform(spark: SparkSession, t: dict, inputs: dict[str, DataFrame]) -> DataFrame | dict[str, DataFrame]:
     p, module = t.get("parameters", {}), t["module"]
     one = next(iter(inputs.values())) if len(inputs) == 1 else None
     rows = one if one is not None else routing.union(inputs) if module not in ("aggregation", "compare", "beamsql", "sql", "union", "attribution", "query") else None
+    if module == "select" and p.get("failFast", t.get("failFast", True)) is False:
+        good, bad = selects.split_failures(rows, p.get("select") or p.get("fields") or [], p.get("filter"))
+        chosen = [f for f in p.get("select") or p.get("fields") or [] if selects.kind_of(f) != "panic"] or [{"name": c} for c in rows.columns]
+        return {"": selects.select(good, chosen, None, p.get("groupFields"), p.get("flattenField")), "failures": failures(bad, t)}
     if module == "select":
         return selects.select(rows, p.get("select") or p.get("fields") or [{"name": c} for c in rows.columns], p.get("filter"), p.get("groupFields"), p.get("flattenField"))
     if module == "filter":
@@ -116,7 +162,10 @@ def transform(spark: SparkSession, t: dict, inputs: dict[str, DataFrame]) -> Dat
         if kind not in ("ticdc", "postgres", "spanner"):
             raise ConfigError(f"step {t['name']!r}: unknown change format {kind!r}")
         out = cdc.from_postgres(rows) if kind == "postgres" else cdc.from_spanner(rows) if kind == "spanner" else cdc.from_canal(rows, p.get("field") or p.get("payloadField", "payload"))
-        return cdc.latest(out) if p.get("accumulate") else out
+        out = cdc.latest(out) if p.get("accumulate") else out
+        if kind == "ticdc" and p.get("failFast", t.get("failFast", True)) is False:
+            return {"": out, "failures": failures(cdc.broken(rows, p.get("field") or p.get("payloadField", "payload")), t)}
+        return out
     if module == "attribution":
         target, baseline = (inputs[p[k]] for k in ("target", "baseline"))
         leaves = attribution.leaves(target, baseline, p["dimensions"], p["measure"])
@@ -125,18 +174,6 @@ def transform(spark: SparkSession, t: dict, inputs: dict[str, DataFrame]) -> Dat
     raise io.NotSupportedError(f"transform {module!r}")
 
 
-def run(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
-    """Builds all steps and runs the sinks; an input like name.* goes to one sink for each tag."""
-    done = build(spark, config)
-    for s in config.get("sinks", []):
-        for i in inputs_of(s):
-            names = [n for n in done if n.startswith(i[:-1])] if i.endswith(".*") else [i]
-            if not names or any(n not in done for n in names):
-                raise ConfigError(f"sink {s.get('name')!r} has no input {i!r}")
-            for n in names:
-                params = {k: v.replace("${input.tag}", n.rpartition(".")[2]) if isinstance(v, str) else v for k, v in s.get("parameters", {}).items()}
-                if s["module"].startswith("action."):
-                    done[s["name"]] = outbound.act(spark, s["module"].removeprefix("action."), params, done[n])
-                else:
-                    io.write(done[n], s["module"], params)
-    return done
+def run(spark: SparkSession, config: dict) -> dict:
+    """Builds all steps and runs the sinks; streams go on until their queries (the results by sink name) are stopped."""
+    return executed(spark, [(kind, s) for kind in ("source", "transform", "sink") for s in config.get(f"{kind}s", [])])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.filters import compile_filter
 from ..plans.schema import struct_type, types_of
@@ -45,7 +47,10 @@ def create(spark: SparkSession, p: dict) -> DataFrame:
 
 @source("storage")
 def storage(spark: SparkSession, p: dict) -> DataFrame:
-    """Parquet, Avro, ORC, CSV, JSON or text files; fields prune columns, filterPrefix drops lines before parsing."""
+    """Parquet, Avro, ORC, CSV, JSON or text files; fields prune columns, filterPrefix drops lines before parsing.
+
+    With streaming, new files of one folder as they appear; their schema must be named or known from files there.
+    """
     kind, paths = p.get("format", "parquet"), p["input"] if isinstance(p["input"], list) else [p["input"]]
     schema = struct_type(p["schema"]["fields"]) if p.get("schema") else None
     if p.get("filterPrefix") and kind in ("csv", "json"):
@@ -55,14 +60,19 @@ def storage(spark: SparkSession, p: dict) -> DataFrame:
         parse = F.from_csv("value", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"sep": p.get("delimiter", ",")}) if kind == "csv" else F.from_json("value", schema)
         out = lines.select(parse.alias("r")).select("r.*")
     else:
-        reader = spark.read.format(kind)
+        streaming = bool(p.get("streaming"))
+        if streaming and schema is None:
+            schema = spark.read.format(kind).load(paths).schema
+        reader = (spark.readStream if streaming else spark.read).format(kind)
         if schema:
             reader = reader.schema(schema)
         if kind == "csv":
             reader = reader.options(header=str(bool(p.get("skipHeaderLines", p.get("header", 0)))).lower(), sep=p.get("delimiter", ","))
         if p.get("compression"):
             reader = reader.option("compression", p["compression"])
-        out = reader.load(paths)
+        if streaming and len(paths) != 1:
+            raise ValueError("a stream reads one folder or glob")
+        out = reader.load(paths[0] if streaming else paths)
     return out.select(*p["fields"]) if p.get("fields") else out
 
 
@@ -146,8 +156,6 @@ def read(spark: SparkSession, module: str, params: dict) -> DataFrame:
 @sink("storage")
 def write_storage(df: DataFrame, p: dict) -> None:
     """Files in a folder; ${field} parts of the path become partition columns, numShards the number of files."""
-    import re
-
     path, keys = p["output"], re.findall(r"\$\{(\w+)\}", p["output"])
     if keys:
         path = path[: path.index("${")].rstrip("/")
@@ -199,7 +207,50 @@ def write_kafka(df: DataFrame, p: dict) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.format("kafka").option("kafka.bootstrap.servers", p["bootstrapServers"]).option("topic", p["topic"]).save()
 
 
-def write(df: DataFrame, module: str, params: dict) -> None:
+def write(df: DataFrame, module: str, params: dict, name: str | None = None) -> StreamingQuery | None:
+    """Writes a table, or starts writing a stream and returns its query."""
     if module not in SINKS:
         raise NotSupportedError(f"sink {module!r} is not available")
+    if df.isStreaming:
+        return write_stream(df, module, params, name)
     SINKS[module](df, params)
+
+
+def write_stream(df: DataFrame, module: str, p: dict, name: str | None = None) -> StreamingQuery:
+    """Files and topics by Spark's own stream sinks, all others batch by batch.
+
+    trigger is {"type": "processingTime", "interval": "10 seconds"}, {"type": "availableNow"} (all that is there, then
+    stop), or nothing for batches as fast as they go. The state goes to checkpointLocation, without it to a folder with
+    the sink's name in spark.checkpoint.dir; a query restarted on its folder goes on where it was.
+    """
+    where = p.get("checkpointLocation")
+    if not where and name and df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        where = df.sparkSession.conf.get("spark.checkpoint.dir").rstrip("/") + f"/streams/{name}"
+    if module == "kafka":
+        df = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+    writer = df.writeStream.outputMode(p.get("outputMode", "append"))
+    if where:
+        writer = writer.option("checkpointLocation", where)
+    trigger = p.get("trigger") or {}
+    if trigger.get("type") == "availableNow":
+        writer = writer.trigger(availableNow=True)
+    elif trigger.get("type") == "processingTime":
+        writer = writer.trigger(processingTime=trigger["interval"])
+    elif trigger:
+        raise NotSupportedError(f"trigger {trigger.get('type')!r}")
+    if module == "storage":
+        path, keys = p["output"], re.findall(r"\$\{(\w+)\}", p["output"])
+        writer = writer.format(p.get("format", "parquet"))
+        if p.get("compression") or p.get("codec"):
+            writer = writer.option("compression", p.get("compression") or p["codec"])
+        if p.get("format") == "csv":
+            writer = writer.option("header", str(bool(p.get("header", False))).lower())
+        if keys:
+            writer, path = writer.partitionBy(*keys), path[: path.index("${")].rstrip("/")
+        return writer.start(path)
+    if module == "iceberg":
+        return writer.toTable(p["table"])
+    if module == "kafka":
+        return writer.format("kafka").option("kafka.bootstrap.servers", p["bootstrapServers"]).option("topic", p["topic"]).start()
+    return writer.foreachBatch(lambda batch, _: SINKS[module](batch, p)).start()
+
