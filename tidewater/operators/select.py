@@ -105,12 +105,56 @@ def lag(s: Select, f: dict) -> Column:
     return expr.compile_expression(f["expression"], s.types, s.lagged)
 
 
+#: Calls in templates: ${utils.group.name(args)}, args being fields, 'texts' or numbers.
+TEMPLATE_CALLS: dict[str, Callable[..., Column]] = {
+    "string.format": lambda pattern, *xs: F.format_string(literal_of(pattern), *xs),
+    "string.uuid": lambda: F.uuid(),
+    "string.replaceAll": lambda c, pattern, by: F.regexp_replace(c.cast("string"), pattern, by),
+    "string.reverse": lambda c: F.reverse(c.cast("string")),
+    "string.sha256": lambda c: F.sha2(c.cast("string"), 256),
+    "string.md5": lambda c: F.md5(c.cast("string")),
+    "string.base64": lambda c: F.base64(c.cast("binary")),
+    "datetime.formatTimestamp": lambda c, pattern, zone=None: F.date_format(F.from_utc_timestamp(c.cast("timestamp"), zone) if zone is not None else c.cast("timestamp"), literal_of(pattern)),
+    "datetime.formatDate": lambda c, pattern: F.date_format(c.cast("date"), literal_of(pattern)),
+    "datetime.currentDate": lambda zone=None: F.to_date(F.from_utc_timestamp(F.current_timestamp(), zone)) if zone is not None else F.current_date(),
+    "datetime.currentTimestamp": lambda: F.current_timestamp(),
+}
+
+
+class Text(str):
+    """A text argument of a template's call."""
+
+
+def literal_of(c: Column | Text) -> str:
+    if not isinstance(c, Text):
+        raise ValueError("a template's pattern must be a text")
+    return str(c)
+
+
+def template_part(part: str) -> Column:
+    """A field, or a call of TEMPLATE_CALLS."""
+    m = re.fullmatch(r"\s*utils\.(\w+\.\w+)\((.*)\)\s*", part, re.S)
+    if not m:
+        return F.col(part.strip())
+    if m[1] not in TEMPLATE_CALLS:
+        raise ValueError(f"unknown template function {m[1]!r}")
+    args = []
+    for raw in re.findall(r"\s*((?:'[^']*'|\"[^\"]*\"|[^,'\"])+)", m[2]):
+        a = raw.strip()
+        args.append(Text(a[1:-1]) if a[0] in "'\"" else F.lit(float(a) if "." in a else int(a)) if re.fullmatch(r"-?\d+(\.\d+)?", a) else F.col(a))
+    texts_at = {"string.format": (0,), "datetime.formatTimestamp": (1,), "datetime.formatDate": (1,)}.get(m[1], ())
+    return TEMPLATE_CALLS[m[1]](*[a if i in texts_at or not isinstance(a, Text) else F.lit(str(a)) for i, a in enumerate(args)])
+
+
+def template(text: str) -> Column:
+    """${field} and ${utils...} parts of a template; a null is empty."""
+    parts = re.split(r"\$\{([^}]+)\}", text)
+    return F.concat(*[F.lit(p) if i % 2 == 0 else F.coalesce(template_part(p).cast("string"), F.lit("")) for i, p in enumerate(parts)])
+
+
 @function("text")
 def text(s: Select, f: dict) -> Column:
-    """${field} parts of a template; a null is empty."""
-    parts = re.split(r"\$\{([^}]+)\}", f["text"])
-    c = F.concat(*[F.lit(p) if i % 2 == 0 else F.coalesce(F.col(p.strip()).cast("string"), F.lit("")) for i, p in enumerate(parts)])
-    return try_cast(c, spark_type(f["type"])) if f.get("type") else c
+    return try_cast(template(f["text"]), spark_type(f["type"])) if f.get("type") else template(f["text"])
 
 
 @function("concat")
@@ -260,6 +304,25 @@ def scrape(s: Select, f: dict) -> Column:
     return html.scrape(f["selector"], f.get("attribute"), f.get("pattern"), int(f.get("group", 0)))(s.source(f))
 
 
+@function("tokenize_encode", "tokenize_decode")
+def tokenize(s: Select, f: dict) -> Column:
+    """By a tokenizer file that every executor can read."""
+    from ..functions import remote
+
+    make = remote.tokenize_encode if kind_of(f) == "tokenize_encode" else remote.tokenize_decode
+    return make(f["tokenizer"], bool(f.get("specialTokens", True)))(s.source(f))
+
+
+@function("http")
+def http(s: Select, f: dict) -> Column:
+    """The answer to a request whose address and body are templates of the row; null for 404."""
+    from ..functions import remote
+
+    ask = remote.http(f.get("method", "POST" if f.get("body") else "GET"), f.get("headers"), float(f.get("timeoutSeconds", 60)), int(f.get("tries", 3)))
+    out = ask(template(f["url"]), template(f["body"]) if f.get("body") else F.lit(None).cast("string"))
+    return F.get_json_object(out, f["path"]) if f.get("path") else out
+
+
 @function("panic")
 def panic(s: Select, f: dict) -> Column:
     return F.when(s.condition(f) & (F.rand() <= float(f.get("rate", 1.0))), F.raise_error(F.lit(f.get("message", "panic"))))
