@@ -81,3 +81,21 @@ def test_models(spark):
     assert abs(got["p"][0] - 3) < 0.2 and got["p"][1] > 0 and 0 < got["s"] < 1
     assert math.isclose(got["d"], (sum(y) + 5) / 2)
     assert sqlx.run(spark, "SELECT LINEAR_REG(y, ARRAY[x]) AS m FROM t WHERE false", {"t": df}).first()["m"] is None
+
+
+UNNESTS = [
+    ("SELECT m.matchNo, m.startIdx, i.s[m.endIdx].x AS x FROM INPUT AS i, UNNEST(SEQ_MATCH(i.s, 'ts,action,x', 'A UP+', 'UP: $x > PREV($x)')) AS m WHERE m.matchNo > 0", [("u", 1, 1, 4.0)]),
+    ("SELECT e.action AS a FROM INPUT AS i CROSS JOIN UNNEST(i.s) AS e WHERE e.ts > 15", [("u", "buy"), ("u", "view"), ("v", "buy")]),
+    ("SELECT p.n, p.e.ts AS ts FROM INPUT AS i, UNNEST(i.s) WITH ORDINALITY AS p(e, n) WHERE p.n > 1 AND p.n < 4", [("u", 2, 10), ("u", 3, 20), ("v", 2, 900)]),
+    ("SELECT t.b, count(*) AS n FROM INPUT AS i, UNNEST(i.s) AS t(a, b, c) GROUP BY t.b HAVING count(*) > 1", [("u", "view", 2)]),
+    ("SELECT x FROM INPUT AS i LEFT JOIN UNNEST(filter(i.s, r -> r.x > 5)) AS x ON true", [("u", None), ("v", (900, "buy", 7.0))]),
+    ("SELECT off FROM INPUT AS i, UNNEST(i.s) WITH OFFSET AS off WHERE off = 3", [("u", 3)]),
+    ("SELECT sum(u.ts) AS t FROM INPUT AS i, UNNEST(SEQ_SPLIT(i.s, 'ts', 10)) WITH ORDINALITY AS q(sess, no), UNNEST(q.sess) AS u WHERE q.no = 2", [("u", 35), ("v", 900)]),
+]
+
+
+@pytest.mark.parametrize("sql, want", UNNESTS)
+def test_unnest(spark, rows, sql, want):
+    people = sqlx.run(spark, "SELECT k, transform(SEQ_COLLECT(ts, action, x), e -> named_struct('ts', e.key, 'action', e.v1, 'x', e.v2)) AS s FROM rows GROUP BY k", {"rows": rows})
+    got = [tuple(tuple(x) if isinstance(x, tuple) else x for x in r) for r in sqlx.per_record(spark, sql, people, keep=["k"]).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)

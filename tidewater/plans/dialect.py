@@ -438,6 +438,9 @@ def beta_sample(spark: SparkSession, a: list[str], name: str) -> str:
     return "tw_beta_sample(" + ", ".join(f"CAST({x} AS {k})" for x, k in zip(a, ("DOUBLE", "DOUBLE", "BIGINT"), strict=True)) + ")"
 
 
+#: Words that may come after a table without a name.
+AFTER_TABLE = {"WHERE", "GROUP", "ORDER", "JOIN", "LEFT", "RIGHT", "FULL", "INNER", "CROSS", "LIMIT", "HAVING", "UNION", "INTERSECT", "EXCEPT", "LATERAL", "ON", "WINDOW"}
+
 # --- rewriting -------------------------------------------------------------------------------------------------------
 
 
@@ -462,6 +465,37 @@ def arguments(text: str) -> list[str]:
     return [x.strip() for x in out] if text.strip() else []
 
 
+def unnested(rows: str, toks: list[str], at: int) -> tuple[str, int]:
+    """A lateral explosion for UNNEST(rows) [WITH ORDINALITY | WITH OFFSET] [AS] name [(columns)], whose tail begins at
+    `at`; the place after it. An element is the column with the table's name: its fields are name.field."""
+    own = [k for k in range(at, len(toks)) if not toks[k].isspace()]
+    word = lambda j: toks[own[j]].upper() if j < len(own) else ""
+    j, place, first = 0, None, 1
+    if word(0) == "WITH" and word(1) in ("ORDINALITY", "OFFSET"):
+        place, first, j = "ordinality" if word(1) == "ORDINALITY" else "offset", int(word(1) == "ORDINALITY"), 2
+        if place == "offset" and word(2) == "AS":
+            place, j = toks[own[3]], 4
+    j += word(j) == "AS"
+    alias, columns = "unnested", []
+    if re.match(r"[A-Za-z_`]", word(j)) and word(j) not in AFTER_TABLE:
+        alias, j = toks[own[j]], j + 1
+        if word(j) == "(":
+            end = closing(toks, own[j])
+            columns = arguments("".join(toks[own[j] + 1 : end]))
+            j = next((k for k, o in enumerate(own) if o > end), len(own))
+    if place:
+        *names, place = columns if len(columns) > 1 else [*(columns or [alias]), place]
+        rows = f"transform({rows}, (__e, __i) -> named_struct('e', __e, 'i', __i + {first}))"
+        if len(names) > 1:
+            raise DialectError("UNNEST with a place takes one column for the element")
+        out = f"LATERAL inline({rows}) AS {alias}({names[0]}, {place})"
+    elif len(columns) > 1:
+        out = f"LATERAL inline({rows}) AS {alias}({', '.join(columns)})"
+    else:
+        out = f"LATERAL explode({rows}) AS {alias}({columns[0] if columns else alias})"
+    return out + " ", own[j] if j < len(own) else len(toks)
+
+
 def translate(spark: SparkSession, sql: str, subscripts: bool = False) -> str:
     """The statement for Spark. With subscripts, a[i] counts from 1 and is null beyond the end (a['k'] stays a map's)."""
     toks, out, i = TOKEN.findall(sql), [], 0
@@ -480,6 +514,11 @@ def translate(spark: SparkSession, sql: str, subscripts: bool = False) -> str:
             end = closing(toks, n)
             out.append(f"array({inner(n + 1, end)})")
             i, primary = end + 1, begin
+        elif upper == "UNNEST" and n < len(toks) and toks[n] == "(":
+            end = closing(toks, n)
+            new, i = unnested(inner(n + 1, end), toks, end + 1)
+            out.append(new)
+            primary = None
         elif upper == "SAFE_CAST":
             out.append("TRY_CAST")
             i, primary = i + 1, begin
