@@ -24,7 +24,7 @@ SCALARS = [
     ("PARSE_DATE('%d.%m.%Y', '17.05.2024')", D(2024, 5, 17)), ("DATE(2024, 5, 17)", D(2024, 5, 17)), ("SAFE_CAST('x' AS INT)", None), ("JSON_VALUE('{\"a\": {\"b\": 1}}', '$.a.b')", "1"), ("JSON_EXISTS('{}', '$.a')", False), ("JSON_LENGTH('[1,2]')", 2),
     ("ARRAY_LENGTH(ARRAY_CONCAT(ARRAY[1], ARRAY[2, 3]))", 3), ("ARRAY_TO_STRING(ARRAY_REVERSE(ARRAY['a', 'b']), '-')", "b-a"), ("ARRAY_DIFFERENCE_INT(ARRAY[1, 4, NULL, 9])", [0, 3, None, None]), ("ARRAY_CUM_SUM(ARRAY[1, NULL, 2])", [1.0, 1.0, 3.0]), ("ARRAY_COMPACT(ARRAY[1, 1, 2, 1])", [1, 2, 1]),
     ("round(COSINE_SIMILARITY(ARRAY[1, 0], ARRAY[1, 1]), 6)", 0.707107), ("COSINE_SIMILARITY(ARRAY[0], ARRAY[1])", None), ("LINREG_PREDICT(ARRAY[1D, 2D, 3D], ARRAY[10, 100])", 321.0), ("MDT_CONTAINS_ALL_INT64(ARRAY[1, 2, 3], ARRAY[3, 1])", True),
-    ("transform(POLY_FIT(ARRAY[0, 1, 2], ARRAY[1, 3, 5], 1), c -> round(c, 6))", [1.0, 2.0]), ("'SAFE_ADD(1, [2])' /* GREATEST( */", "SAFE_ADD(1, [2])"),
+    ("transform(POLY_FIT(ARRAY[0, 1, 2], ARRAY[1, 3, 5], 1), c -> round(c, 6))", [1.0, 2.0]), ("2 IN UNNEST(ARRAY[1, 2])", True), ("1 = 1 AND lower('A') NOT IN UNNEST(ARRAY['a']) OR false", False), ("'SAFE_ADD(1, [2])' /* GREATEST( */", "SAFE_ADD(1, [2])"),
 ]
 
 
@@ -99,3 +99,8 @@ def test_unnest(spark, rows, sql, want):
     people = sqlx.run(spark, "SELECT k, transform(SEQ_COLLECT(ts, action, x), e -> named_struct('ts', e.key, 'action', e.v1, 'x', e.v2)) AS s FROM rows GROUP BY k", {"rows": rows})
     got = [tuple(tuple(x) if isinstance(x, tuple) else x for x in r) for r in sqlx.per_record(spark, sql, people, keep=["k"]).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_ordered_aggregates(spark, rows):
+    sql = "SELECT STRING_AGG(action, '-' ORDER BY ts DESC) AS a, STRING_AGG(action ORDER BY action, ts) AS b, ARRAY_AGG(x ORDER BY ts DESC) AS c, STRING_AGG(DISTINCT k) AS d FROM rows WHERE k = 'u'"
+    assert list(sqlx.run(spark, sql, {"rows": rows}).first()) == ["buy-view-cart-view", "buy,cart,view,view", [3.0, 4.0, 2.0, 1.0], "u"]

@@ -18,6 +18,7 @@ TOKEN = re.compile(r"\s+|--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\
 UNITS = {"MICROSECOND", "MILLISECOND", "SECOND", "MINUTE", "HOUR", "DAY", "WEEK", "MONTH", "QUARTER", "YEAR"}
 #: strftime's letters as patterns of date_format.
 STRFTIME = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "y": "yy", "b": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE", "j": "DDD", "I": "hh", "p": "a", "e": "d", "f": "SSSSSS", "F": "yyyy-MM-dd", "T": "HH:mm:ss", "R": "HH:mm", "z": "xx", "Z": "VV"}
+COMMA = "','"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -155,9 +156,37 @@ def from_base32(spark: SparkSession, a: list[str], name: str) -> str:
     return f"if({n} < 1, CAST('' AS BINARY), unhex(array_join(transform(sequence(0, {n} - 1), __i -> lpad(conv(substr({bits}, __i * 8 + 1, 8), 2, 16), 2, '0')), '')))"
 
 
+def ordering(arg: str) -> tuple[str, str | None]:
+    """An aggregate's last argument and the order named after it."""
+    toks = TOKEN.findall(arg)
+    for i, t in enumerate(toks):
+        if t.upper() == "ORDER" and "".join(toks[i + 1 :]).lstrip()[:2].upper() == "BY":
+            return "".join(toks[:i]).strip(), "".join(toks[i + 1 :]).lstrip()[2:].strip()
+    return arg, None
+
+
 @call("STRING_AGG")
 def string_agg(spark: SparkSession, a: list[str], name: str) -> str:
-    return f"listagg({a[0]}, {a[1] if len(a) > 1 else chr(39) + ',' + chr(39)})"
+    """Texts joined, by commas if nothing else is named, in the order that the last argument names."""
+    # More than one order column leaves its commas among the arguments.
+    at = next((i for i, x in enumerate(a) if ordering(x)[1]), None)
+    if at is None:
+        return f"listagg({a[0]}, {a[1] if len(a) > 1 else COMMA})"
+    last, by = ordering(a[at])
+    own = [*a[:at], last]
+    return f"listagg({own[0]}, {own[1] if len(own) > 1 else COMMA}) WITHIN GROUP (ORDER BY {', '.join([by, *a[at + 1 :]])})"
+
+
+@call("ARRAY_AGG")
+def array_agg(spark: SparkSession, a: list[str], name: str) -> str | None:
+    """With ORDER BY one key: nulls of the key last; values of the same key in their own order."""
+    value, by = ordering(a[0])
+    if by is None or len(a) > 1:
+        return None
+    m = re.fullmatch(r"(.*?)(?:\s+(ASC|DESC))?", by, re.S | re.I)
+    less = "1" if (m[2] or "").upper() == "DESC" else "-1"
+    order = f"CASE WHEN __a.o IS NULL AND __b.o IS NULL THEN 0 WHEN __a.o IS NULL THEN 1 WHEN __b.o IS NULL THEN -1 WHEN __a.o < __b.o THEN {less} WHEN __a.o > __b.o THEN -({less}) ELSE 0 END"
+    return f"transform(array_sort(array_sort(collect_list(named_struct('o', {m[1]}, 'v', {value}))), (__a, __b) -> {order}), __e -> __e.v)"
 
 
 # --- dates -----------------------------------------------------------------------------------------------------------
@@ -501,6 +530,7 @@ def translate(spark: SparkSession, sql: str, subscripts: bool = False) -> str:
     toks, out, i = TOKEN.findall(sql), [], 0
     inner = lambda a, b: translate(spark, "".join(toks[a:b]), subscripts)
     primary = None  # where in out the operand that a subscript would take begins
+    before = 0  # where the last operand begins, which IN UNNEST takes
     while i < len(toks):
         t = toks[i]
         word = re.match(r"[A-Za-z_`]", t) is not None
@@ -510,7 +540,16 @@ def translate(spark: SparkSession, sql: str, subscripts: bool = False) -> str:
         while n < len(toks) and toks[n].isspace():
             n += 1
         upper = t.upper()
-        if word and upper == "ARRAY" and n < len(toks) and toks[n] == "[":
+        if upper not in ("NOT", "IN") and not path and (word or t[0] in "'\"(" or t[0].isdigit()):
+            before = begin
+        if upper == "IN" and n < len(toks) and toks[n].upper() == "UNNEST":
+            start = next(k for k in range(n + 1, len(toks)) if toks[k] == "(")
+            end = closing(toks, start)
+            own = "".join(out[before:]).strip()
+            no = re.search(r"\s+NOT$", own, re.I)
+            out[before:] = [f"{'NOT ' if no else ''}array_contains({inner(start + 1, end)}, {own[: no.start()] if no else own})"]
+            i, primary = end + 1, None
+        elif word and upper == "ARRAY" and n < len(toks) and toks[n] == "[":
             end = closing(toks, n)
             out.append(f"array({inner(n + 1, end)})")
             i, primary = end + 1, begin
