@@ -203,6 +203,22 @@ def test_lm(spark, odd, nothing):
     assert lm.perplexities(nothing).count() == 0
 
 
+def test_lm_word_order(spark):
+    """A word is likelier after the words it follows in training; seatings agree with each other."""
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10]
+    held = [i for i in range(200) if not zlib.crc32(str(i).encode()) % 10]
+    rows = [(i, "red apple green pear blue plum" if i % 2 else "pear red plum blue apple green") for i in ids]
+    rows += [(held[0], "red apple green pear"), (held[1], "apple red pear green")]
+    got = {r["doc_id"]: r for r in lm.perplexities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]]["base_score"] == pytest.approx(got[held[1]]["base_score"])
+    assert got[held[0]]["score"] > got[held[1]]["score"] + 2
+    model = lm.train(spark.createDataFrame(rows[: len(ids)], "doc_id long, text string"))
+    state = model.words.collect()
+    assert model.customers == sum(r["ks"] for r in state) / lm.SAMPLES and model.tables == sum(r["ts"] for r in state) / lm.SAMPLES
+    assert sum(r["c"] for r in state) == model.tokens == sum(r["c"] for r in model.pairs.collect())
+    assert all(1 <= r["ps"] / lm.SAMPLES <= r["c"] for r in model.seats.collect())
+
+
 def test_lm_probabilities_add_up():
     """The spelling model's symbols after every context have a total probability of one; seen ones gain."""
     data = np.frombuffer(b"thethethathorse", np.uint8)
