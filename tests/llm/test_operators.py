@@ -266,6 +266,16 @@ def test_packing(spark, odd, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_packing_takes_all_neighbours():
+    """Short documents of two topics in turn, with many words of their own, and a very long one: a topic stays together."""
+    short = [[*range(1000 + 30 * i, 1030 + 30 * i), *range(10 * (i % 2), 10 * (i % 2) + 5)] for i in range(200)]
+    docs = [*short, list(range(10**5, 10**5 + 10**6))]
+    ids, offsets = np.concatenate(docs).astype(np.uint32), np.cumsum([0, *map(len, docs)])
+    seq = packing.order(ids, offsets, 4096).tolist()
+    assert sorted(seq) == list(range(201))
+    assert all(d % 2 == 0 for d in seq[:100])
+
+
 def plain_top(rows, is_query, k=10):
     good = [(i, [math.floor(1024 * float(x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = set()

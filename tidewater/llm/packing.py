@@ -2,10 +2,10 @@
 
 Documents are dealt by hash into shards of about SHARD_DOCS, however many there are; each shard is packed alone. A
 shard builds an inverted index of its documents' ids with BM25 weights. The document at the head of a window is the
-seed: its most telling terms are looked up, and the unused neighbours they score fill the window in falling order; the
-one that crosses the window's end is cut there and its rest is the next seed. Without scored neighbours the next unused
-document follows. All windows are full but a shard's last, whose ids are dealt into sequences of falling powers of two,
-which need no padding either.
+seed: all its terms are looked up, and the unused neighbours they score fill the window in falling order; the one that
+crosses the window's end is cut there and its rest is the next seed. Only when no scored neighbour is left does the next
+unused document follow, as the new seed. All windows are full but a shard's last, whose ids are dealt into sequences of
+falling powers of two, which need no padding either.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from .token_ids import binaries
 WINDOW = 4096
 SHARD_DOCS = 2048
 K1, B = 1.2, 0.75
-QUERY_TERMS = 24
 
 
 class Index:
@@ -49,19 +48,14 @@ class Index:
         self.posting, self.posted = self.doc[order], self.weight[order]
         self.n = n
 
-    def neighbours(self, seed: int, unused: np.ndarray, most: int) -> np.ndarray:
-        """Up to `most` unused documents that share a telling term with the seed, best first, ties by place."""
-        a, b = self.bounds[seed], self.bounds[seed + 1]
-        own = self.weight[a:b]
-        best = np.argsort(-own, kind="stable")[:QUERY_TERMS]
+    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """The unused documents that share a term with the seed, best first, ties by place."""
         score = np.zeros(self.n)
-        for t in self.at[a:b][best]:
+        for t in self.at[self.bounds[seed] : self.bounds[seed + 1]]:
             x = slice(self.start[t], self.start[t + 1])
             score[self.posting[x]] += self.posted[x]
         score[~unused] = 0
         some = np.flatnonzero(score)
-        if len(some) > most:
-            some = np.sort(some[np.argpartition(-score[some], most)[:most]])
         return some[np.argsort(-score[some], kind="stable")]
 
 
@@ -70,7 +64,6 @@ def order(ids: np.ndarray, offsets: np.ndarray, window: int) -> np.ndarray:
     n, lens = len(offsets) - 1, np.diff(offsets)
     index, unused, out = Index(ids, offsets), np.ones(n, bool), np.zeros(n, np.int64)
     placed, filled, ahead, seed = 0, 0, 0, -1
-    near = max(8, int(2 * window / max(lens.mean(), 1))) if n else 0
 
     def place(d: int) -> None:
         nonlocal placed, filled
@@ -85,7 +78,7 @@ def order(ids: np.ndarray, offsets: np.ndarray, window: int) -> np.ndarray:
                 ahead += 1
             place(seed := ahead)
         end = (filled // window + 1) * window
-        for d in index.neighbours(seed, unused, near).tolist():
+        for d in index.neighbours(seed, unused).tolist():
             place(d)
             if filled >= end:
                 break
