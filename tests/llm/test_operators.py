@@ -65,6 +65,14 @@ def test_pii_discovers_by_context(spark):
     assert got[10]["spans"] == ""
 
 
+def test_pii_marks_known_values_everywhere(spark):
+    cards = ["4111111111111111", "5500005555555559", "340000000000009", "30000000000004", "6011000000000004"]
+    rows = [(i, f"please charge my account {c} today") for i, c in enumerate(cards)] + [(9, "please charge my account 9999-ZZ-77123 today")]
+    rows += [(10, "see 9999-ZZ-77123 again"), (11, "9999-ZZ-77123"), (12, "see 9999-ZZ-77124 again")]
+    got = {r["doc_id"]: r["spans"] for r in pii.pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[9], got[10], got[11], got[12]) == ("card:25:38", "card:4:17", "card:0:13", "")
+
+
 def test_trigram_queries():
     assert trigrams.query("AKIA[A-Z0-9]{16,}") == ("and", ("aki", "kia"))
     assert trigrams.query("[0-9a-f]{24,}") is True

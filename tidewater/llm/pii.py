@@ -4,8 +4,8 @@ Main path: DataFrame functions only. One scan of the texts finds the base entiti
 identifier-shaped tokens, each with the lexical pattern (two words, digits masked) on its left, and is staged without
 texts. On that small table Spark scores the bipartite graph of patterns and instances: a pattern's confidence in a kind
 is the share of its distinct instances known to be of that kind; an instance is known once the noisy-or of its
-confident patterns is high enough; each round adds the new instances to the seeds. Occurrences of discovered instances
-after confident patterns become extra spans. Distinct (pattern, instance) pairs are counted, so a text copied a
+confident patterns is high enough; each round adds the new instances to the seeds. All occurrences of a discovered
+instance become extra spans, whatever stands before them. Distinct (pattern, instance) pairs are counted, so a text copied a
 thousand times has the weight of one.
 """
 
@@ -83,8 +83,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def bootstrap(scanned: DataFrame, rounds: int = 2, support: int = 4, confidence: float = 0.8, certainty: float = 0.8) -> DataFrame:
     """rid and its extra spans, array<struct<s, k, e>>; the rows of scan() come from a staged table."""
-    every = scanned.select("rid", F.explode(F.concat("base", "cand")).alias("x")).select("rid", "x.*").filter("p <> ''")
-    edges = stage(every.groupBy("p", "v").agg(F.min("k").alias("k")), "pii-edges")
+    every = scanned.select("rid", F.explode(F.concat("base", "cand")).alias("x")).select("rid", "x.*")
+    edges = stage(every.filter("p <> ''").groupBy("p", "v").agg(F.min("k").alias("k")), "pii-edges")
     known = edges.filter("k is not null").groupBy("v").agg(F.min("k").alias("known"))
     for _ in range(rounds):
         marked = edges.join(known, "v", "left")
@@ -98,7 +98,7 @@ def bootstrap(scanned: DataFrame, rounds: int = 2, support: int = 4, confidence:
         new = reached.groupBy("v", "kind").agg((1 - doubt).alias("sure")).filter(F.col("sure") >= certainty)
         new = new.groupBy("v").agg(F.max_by("kind", F.struct("sure", -F.col("kind"))).alias("known"))
         known = stage(known.unionByName(new), "pii-known")
-    found = every.filter("k is null").join(patterns.select("p"), "p").join(known, "v")
+    found = every.filter("k is null").join(known, "v")
     return found.groupBy("rid").agg(F.collect_set(F.struct("s", F.col("known").alias("k"), "e")).alias("more"))
 
 
