@@ -73,6 +73,23 @@ def test_pii_marks_known_values_everywhere(spark):
     assert (got[9], got[10], got[11], got[12]) == ("card:25:38", "card:4:17", "card:0:13", "")
 
 
+def test_pii_goes_on_while_the_graph_grows(spark):
+    """Each pattern becomes confident by the instance that the one before has found."""
+    cards = ["4111111111111111", "5500005555555559", "340000000000009", "30000000000004", "6011000000000004"]
+    found = [f"555 01{i} 99{i}9" for i in range(6)]
+    texts = [f"alpha context {c}" for c in [*cards, found[0]]]
+    for i, p in enumerate(["beta", "gamma", "delta", "epsilon", "zeta"]):
+        texts += [f"{p} context {c}" for c in [*cards[:4], found[i], found[i + 1]]]
+    texts += ["omega context 4111 1111 1111 1112 x", "omega context (555) 010-9999 x", "beta 1 22 333x 4 5"]
+    texts += [f"omega context {c}" for c in [*cards, "30569309025904", "5105105105105100", "4012888888881881"]] + ["1 2 " * 30_000]
+    got = [r["spans"] for r in sorted(pii.pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())]
+    for d, t in enumerate(texts):
+        for value in found:
+            if value in t:
+                assert got[d] == f"card:{t.index(value)}:{len(t)}", t
+    assert got[36] == "card:14:33" and got[37] == "card:14:28" and got[38] == "" and got[-1] == ""
+
+
 def test_trigram_queries():
     assert trigrams.query("AKIA[A-Z0-9]{16,}") == ("and", ("aki", "kia"))
     assert trigrams.query("[0-9a-f]{24,}") is True

@@ -1,10 +1,10 @@
 """Personal data: validated base patterns, and bootstrapped contextual extraction of further identifiers.
 
 Main path: DataFrame functions only. One scan of the texts finds the base entities (the seeds) and all other
-identifier-shaped tokens, each with the lexical pattern (two words, digits masked) on its left, and is staged without
+identifier-shaped tokens and runs of digit groups, each with the lexical pattern (two words, digits masked) on its left, and is staged without
 texts. On that small table Spark scores the bipartite graph of patterns and instances: a pattern's confidence in a kind
 is the share of its distinct instances known to be of that kind; an instance is known once the noisy-or of its
-confident patterns is high enough; each round adds the new instances to the seeds. All occurrences of a discovered
+confident patterns is high enough; each round adds the new instances to the seeds, until a round finds none. All occurrences of a discovered
 instance become extra spans, whatever stands before them. Distinct (pattern, instance) pairs are counted, so a text copied a
 thousand times has the weight of one.
 """
@@ -26,6 +26,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: A token with a digit or an at sign.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Groups of digits joined by blanks, hyphens or brackets.
+GROUPS = r"(?<![A-Za-z0-9])(?<![A-Za-z0-9][-._/@])\(?[0-9]++(?![A-Za-z])(?:[\x20()-]{1,3}+[0-9]++(?![A-Za-z]))++"
 CONTEXT_CHARS = 80
 
 
@@ -65,31 +67,36 @@ def pattern_before(text: Column, start: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """rid, doc_id, base array<struct<s, k, e, v, p>>, cand (the same, k null): what one pass over the texts finds."""
+    """rid, doc_id, base array<struct<s, k, e, v, p, wide>>, cand (the same, k null): what one pass over the texts finds.
+
+    wide: a run of digit groups that holds a smaller candidate; only one of the two can be the identifier.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
-    found = docs.select("doc_id", t.alias("t"), *[c.alias(k) for k, c in zip(KINDS, base_spans(t), strict=True)], find_spans(t, TOKEN).alias("tokens"))
+    found = docs.select("doc_id", t.alias("t"), *[c.alias(k) for k, c in zip(KINDS, base_spans(t), strict=True)], find_spans(t, TOKEN).alias("tokens"), find_spans(t, GROUPS).alias("groups"))
     t = F.col("t")
-    item = lambda x, k: F.struct(x["s"].alias("s"), F.lit(k).cast("int").alias("k"), x["e"].alias("e"), x["m"].alias("v"), pattern_before(t, x["s"]).alias("p"))
-    items = lambda k: lambda x: item(x, k)
+    wide = lambda x: F.exists("cores", lambda c: (x["s"] <= c["s"]) & (c["e"] <= x["e"]) & (c["e"] - c["s"] < x["e"] - x["s"]))
+    item = lambda x, k, w: F.struct(x["s"].alias("s"), F.lit(k).cast("int").alias("k"), x["e"].alias("e"), x["m"].alias("v"), pattern_before(t, x["s"]).alias("p"), w.alias("wide"))
+    items = lambda k: lambda x: item(x, k, F.lit(False) if k is not None else wide(x))
     lead = lambda x: F.length(F.regexp_extract(x["m"], "^[^A-Za-z0-9]*+", 0))
     core = lambda x: F.regexp_replace(x["m"], "^[^A-Za-z0-9]++|(?<![^A-Za-z0-9])[^A-Za-z0-9]++$", "")
     base = F.concat(*[F.transform(F.col(k), items(i)) for i, k in enumerate(KINDS)])
     cores = F.transform(F.col("tokens"), lambda x: F.struct((x["s"] + lead(x)).alias("s"), (x["s"] + lead(x) + F.length(core(x))).alias("e"), core(x).alias("m")))
     private = lambda x: (F.length(digits(x["m"])) >= 5) | F.contains(x["m"], F.lit("@"))
     found = found.withColumn("base", base).withColumn("cores", F.filter(cores, private))
-    free = F.filter("cores", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    found = found.withColumn("found", F.array_union("cores", F.filter("groups", private)))
+    free = F.filter("found", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     return found.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "base", F.transform(free, items(None)).alias("cand"))
 
 
-def bootstrap(scanned: DataFrame, rounds: int = 2, support: int = 4, confidence: float = 0.8, certainty: float = 0.8) -> DataFrame:
+def bootstrap(scanned: DataFrame, support: int = 4, confidence: float = 0.8, certainty: float = 0.8) -> DataFrame:
     """rid and its extra spans, array<struct<s, k, e>>; the rows of scan() come from a staged table."""
     every = scanned.select("rid", F.explode(F.concat("base", "cand")).alias("x")).select("rid", "x.*")
-    edges = stage(every.filter("p <> ''").groupBy("p", "v").agg(F.min("k").alias("k")), "pii-edges")
+    edges = stage(every.filter("p <> ''").groupBy("p", "v").agg(F.min("k").alias("k"), F.min("wide").alias("wide")), "pii-edges")
     known = edges.filter("k is not null").groupBy("v").agg(F.min("k").alias("known"))
-    for _ in range(rounds):
+    while True:
         marked = edges.join(known, "v", "left")
         hits = [F.count_if(F.col("known") == i) for i in range(len(KINDS))]
-        counts = marked.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.array(*hits).alias("hits"))
+        counts = marked.groupBy("p").agg(F.count_if(~F.col("wide") | F.col("known").isNotNull()).alias("n"), F.array(*hits).alias("hits"))
         best = F.array_max("hits")
         # A pattern's instances lean to one kind at a confidence over one half, so the first maximum is the only one.
         patterns = counts.filter((best >= support) & (best / F.col("n") >= confidence)).select("p", (F.array_position("hits", best) - 1).cast("int").alias("kind"), (best / F.col("n")).alias("conf"))
@@ -97,6 +104,9 @@ def bootstrap(scanned: DataFrame, rounds: int = 2, support: int = 4, confidence:
         doubt = F.exp(F.sum(F.log1p(-F.least(F.col("conf"), F.lit(0.999)))))
         new = reached.groupBy("v", "kind").agg((1 - doubt).alias("sure")).filter(F.col("sure") >= certainty)
         new = new.groupBy("v").agg(F.max_by("kind", F.struct("sure", -F.col("kind"))).alias("known"))
+        new = stage(new, "pii-new")
+        if new.isEmpty():
+            break
         known = stage(known.unionByName(new), "pii-known")
     found = every.filter("k is null").join(known, "v")
     return found.groupBy("rid").agg(F.collect_set(F.struct("s", F.col("known").alias("k"), "e")).alias("more"))
