@@ -19,19 +19,24 @@ from .common import as_kind, doc_key, find_spans, no_spans, spans_text, stage
 
 @dataclass(frozen=True)
 class Rule:
-    """kind: the name in spans. group: the part that must have `least` code points (0: the whole match)."""
+    """kind: the name in spans. group: the part that must have `least` code points (0: the whole match). tail: what else
+    belongs to a match, if it is there."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
     base: bool = False
+    tail: str = ""
     query: trigrams.Query = field(init=False, default=True)
 
     def __post_init__(self):
         object.__setattr__(self, "query", trigrams.query(self.pattern.replace("++", "+")))
 
 
+#: All up to the END line, or, where a key is cut off, header fields and a run of base64 that begins with a long piece.
+_BREAK = r"(?:[\x20\x09-\x0D>*#\"'+,]|\\[nrt])"
+PEM_BODY = rf"""(?:(?:[^-]|-(?!----))*+-----END [A-Z0-9 ]{{0,20}}PRIVATE KEY(?: BLOCK)?-----|(?:{_BREAK}*+[A-Za-z][A-Za-z-]{{0,30}}:\x20[^\r\n\\]*+)*+(?:{_BREAK}*+[A-Za-z0-9+/=]{{16,}}+(?:{_BREAK}*+[A-Za-z0-9+/=]++)*+)?+)"""
 RULES = (
     Rule("assign", r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6, True),
     Rule("access", r"AKIA[A-Z0-9]{16,}", base=True),
@@ -42,7 +47,7 @@ RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----", tail=PEM_BODY),
 )
 SHARD_DOCS = 4096
 
@@ -76,7 +81,7 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def verify(text: Column, rule: Rule) -> Column:
-    spans = find_spans(text, rule.pattern)
+    spans = find_spans(text, rule.pattern + rule.tail)
     if rule.group:
         return F.filter(spans, lambda x: F.length(F.regexp_extract(x["m"], rule.pattern, rule.group)) >= rule.least)
     return spans
