@@ -204,6 +204,26 @@ def test_attribution(spark):
     assert attribution.adtributor(leaves, ["region", "category"]).first()["slice_values"] == "a"
 
 
+def test_attribution_parameters(spark):
+    kind = "region string, category string, sales double"
+    base = spark.createDataFrame([(r, c, 100.0) for r in "abcdefghijklm" for c in "xy"], kind)
+    target = base.withColumn("sales", F.col("sales") * F.when(F.col("region") < "l", 3).otherwise(1))
+
+    def step(**p):
+        t = {"name": "a", "module": "attribution", "parameters": {"target": "t", "baseline": "b", "dimensions": ["region", "category"], "measure": "sales", **p}}
+        return runner.transform(spark, t, {"t": target, "b": base}).collect()
+
+    assert len(step(algorithm="exhaustive")) == 10
+    assert len(step(engine={"algorithm": "exhaustive", "guards": {"maxLayer": 1}}, output={"topK": 20})) == 13 and {r["layer"] for r in step(engine={"algorithm": "exhaustive", "guards": {"maxLayer": 1}})} == {1}
+    assert len(step()) == 2 and len(step(output={"topK": 1})) == 1 and step(engine={"riskloc": {"riskThreshold": 0.99}}) == []
+    assert step(engine={"algorithm": "adtributor", "adtributor": {"teep": 0.6}}) == [] != step(algorithm="adtributor")
+    for bad in ({"engine": {"algorithm": "squeeze"}}, {"engine": {"guards": {"minSupport": 0.1}}}, {"semantics": {}}, {"output": {"format": "x"}}, {"engine": {"riskloc": {"pruningLayers": 2}}}):
+        with pytest.raises(io.NotSupportedError):
+            step(**bad)
+    with pytest.raises(runner.ConfigError):
+        step(output={"topK": 0})
+
+
 def test_sql_modules(spark):
     users = spark.createDataFrame([(1, [3, 4]), (2, [])], "user_id int, xs array<int>")
     got = sqlx.per_record(spark, "SELECT count(*) AS n, sum(x) AS s FROM INPUT, LATERAL explode(INPUT.xs) AS t(x)", users, keep=["user_id"]).orderBy("user_id").collect()

@@ -168,12 +168,48 @@ def transform(spark: SparkSession, t: dict, inputs: dict[str, DataFrame]) -> Dat
         return out
     if module == "attribution":
         target, baseline = (inputs[p[k]] for k in ("target", "baseline"))
-        leaves = attribution.leaves(target, baseline, p["dimensions"], p["measure"])
-        run = {"exhaustive": attribution.exhaustive, "adtributor": attribution.adtributor, "riskloc": attribution.locate}[p.get("algorithm", "riskloc")]
-        return run(leaves, p["dimensions"])
+        run, how = search(p)
+        return run(attribution.leaves(target, baseline, p["dimensions"], p["measure"]), p["dimensions"], **how)
     raise io.NotSupportedError(f"transform {module!r}")
 
 
+#: The parameters of an attribution's engine and output, by section, and what the algorithms call them.
+SEARCHES = {"exhaustive": attribution.exhaustive, "adtributor": attribution.adtributor, "riskloc": attribution.locate}
+SEARCH_OWN = {"exhaustive": {}, "adtributor": {"teep": "teep", "tep": "tep"}, "riskloc": {"riskThreshold": "risk", "pepThreshold": "pep"}}
+
+
+def search(p: dict) -> tuple:
+    """The search of an attribution step and its arguments, from the step's parameters; others are not supported."""
+
+    def known(section: dict, names: dict | set, where: str) -> dict:
+        if unknown := sorted(set(section) - set(names)):
+            raise io.NotSupportedError(f"attribution: {where}{', '.join(unknown)}")
+        return section
+
+    engine, output = p.get("engine") or {}, p.get("output") or {}
+    known(p, {"target", "baseline", "dimensions", "measure", "algorithm", "engine", "output"}, "")
+    known(engine, {"algorithm", "guards", *SEARCH_OWN}, "engine.")
+    guards = known(engine.get("guards") or {}, {"maxLayer"}, "engine.guards.")
+    known(output, {"topK"}, "output.")
+    algorithm = engine.get("algorithm", p.get("algorithm", "riskloc"))
+    if algorithm not in SEARCHES:
+        raise io.NotSupportedError(f"attribution: algorithm {algorithm!r}")
+    how = {}
+    for a, names in SEARCH_OWN.items():
+        own = known(engine.get(a) or {}, names, f"engine.{a}.")
+        # The sections of the algorithms not chosen have no effect.
+        how |= {names[k]: v for k, v in own.items() if a == algorithm and v is not None}
+    if guards.get("maxLayer") is not None and algorithm != "adtributor":
+        how["max_layer"] = guards["maxLayer"]
+    if output.get("topK") is not None:
+        how["top"] = output["topK"]
+    for k, v in how.items():
+        low, high = {"teep": (0, 1), "tep": (0, 1), "pep": (0, 1), "risk": (0, 1)}.get(k, (1, None))
+        if isinstance(v, bool) or not isinstance(v, (int, float)) or v < low or (high is not None and v > high) or (high is None and v != int(v)):
+            raise ConfigError(f"attribution: {k} can't be {v!r}")
+    return SEARCHES[algorithm], how
+
+
 def run(spark: SparkSession, config: dict) -> dict:
     """Builds all steps and runs the sinks; streams go on until their queries (the results by sink name) are stopped."""
     return executed(spark, [(kind, s) for kind in ("source", "transform", "sink") for s in config.get(f"{kind}s", [])])
