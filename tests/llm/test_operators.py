@@ -179,6 +179,19 @@ def test_mixing(spark, odd, nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.mixed(nothing).count() == 0
 
 
+def test_mixed_cuts_one_document_at_most(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BINS", 2)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(5 + i % 7)), "st"[i % 2]) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    target = {r["source"]: r["target"] for r in mixing.water_fill(docs.groupBy("source").agg(F.sum(mixing.words(F.col("text"))).alias("source_size"))).collect()}
+    text, got, cut = {i: t for i, t, _ in rows}, Counter(), Counter()
+    for r in mixing.mixed(docs).collect():
+        got[r["source"]] += len(brute.words(r["text"]))
+        cut[r["source"]] += r["text"] != text[r["doc_id"]]
+        assert text[r["doc_id"]].startswith(r["text"])
+    assert all(got[s] == math.floor(target[s] + 1e-6) and cut[s] <= 1 for s in target)
+
+
 def test_jaccard(spark, odd, nothing):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = brute.jaccard_classes(texts(docs))

@@ -4,7 +4,8 @@ Sources share the total by weight; a target above its cap (most_epochs times the
 reshared by weight until none is above. Sorted by cap over weight the clamped sources are a prefix, so the fixed point
 needs one ordered pass over the sources and no loop. A source at rate r takes every document floor(r) times whole, and
 of the rest a seeded sample: documents fall into BINS seeded bins of their source, whole bins are taken until the next
-would exceed what is missing, and the documents of that one bin give the same fraction of their words.
+would exceed what is missing, and the documents of that one bin give the same fraction of their words in mix(); mixed()
+takes them whole in a seeded order until nothing is missing, so that it cuts one document of a source at most.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ def plan(sized: DataFrame, most_epochs: int, weights: tuple[int, ...]) -> DataFr
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     joined = bins.withColumn("before", before).join(filled.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own")))
     part = F.when(F.col("words") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (missing - F.col("before")) / F.col("words"))))
-    return joined.select(F.col("source").alias("own"), F.col("bin").alias("own_bin"), "source_size", "target", "times", part.alias("part"))
+    return joined.select(F.col("source").alias("own"), F.col("bin").alias("own_bin"), "source_size", "target", "times", part.alias("part"), "words")
 
 
 def mix(docs: DataFrame, most_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: str = SEED, text: str = "text") -> DataFrame:
@@ -70,15 +71,28 @@ def mix(docs: DataFrame, most_epochs: int = 3, weights: tuple[int, ...] = (1, 2,
 
 
 def mixed(docs: DataFrame, most_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: str = SEED, text: str = "text") -> DataFrame:
-    """The mix itself: each document as often as it is taken, a part of it as its first words; columns of docs stay."""
+    """The mix itself: each document as often as it is taken; one document of a source at most gives its first words
+    for a part; columns of docs stay."""
     names = docs.columns
     t = F.col(text)
-    rows = docs.select("*", words(t).alias("__size"), bin_of(t, seed).alias("__bin"))
-    chosen = stage(plan(rows.select("source", F.col("__bin").alias("bin"), F.col("__size").alias("size")), most_epochs, weights), "mix-plan")
-    out = rows.join(chosen, F.col("source").eqNullSafe(F.col("own")) & (F.col("__bin") == F.col("own_bin")))
-    extra = F.floor(F.col("part") * F.col("__size")).cast("int")
+    by_bin = F.col("source").eqNullSafe(F.col("own")) & (F.col("__bin") == F.col("own_bin"))
+    rows = docs.select("*", bin_of(t, seed).alias("__bin"))
+    chosen = stage(plan(rows.select("source", F.col("__bin").alias("bin"), words(t).alias("size")), most_epochs, weights), "mix-plan")
+    edge = (F.col("part") > 0) & (F.col("part") < 1)
+    out = rows.join(chosen, by_bin)
+    # Whole bins, in one pass over the texts.
+    whole = out.filter(~edge).withColumn("__copy", F.explode(F.array_repeat(t, (F.col("times") + F.when((F.col("part") == 1) & t.rlike(WORD), 1).otherwise(0)).cast("int"))))
+    # The one bin of each source that is taken in part, about a thousandth of the rows.
+    row = F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(t, F.lit("")))
+    some = out.filter(edge).withColumn("__size", words(t)).withColumn("__order", F.md5(row))
+    before = F.coalesce(F.sum("__size").over(Window.partitionBy("source").orderBy("__order").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Half a thousandth is far above the error of part * words.
+    missing = F.floor(F.col("part") * F.col("words") + 0.0005)
+    some = some.withColumn("__extra", F.greatest(F.lit(0), F.least(F.col("__size"), missing - before)).cast("int"))
+    extra = F.col("__extra")
     # The words of a part, with the white space before each; a whole repetition keeps its text as it is.
     head = F.array_join(F.slice(F.regexp_extract_all(t, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), extra), "")
-    whole = F.array_repeat(t, (F.col("times") + F.when((extra == F.col("__size")) & (extra > 0), 1).otherwise(0)).cast("int"))
-    copies = F.when((extra > 0) & (extra < F.col("__size")), F.concat(whole, F.array(head))).otherwise(whole)
-    return out.withColumn("__copy", F.explode(copies)).withColumn(text, F.col("__copy")).select(*names)
+    full = F.array_repeat(t, (F.col("times") + F.when((extra == F.col("__size")) & (extra > 0), 1).otherwise(0)).cast("int"))
+    copies = F.when((extra > 0) & (extra < F.col("__size")), F.concat(full, F.array(head))).otherwise(full)
+    some = some.withColumn("__copy", F.explode(copies))
+    return whole.unionByName(some, allowMissingColumns=True).withColumn(text, F.col("__copy")).select(*names)
