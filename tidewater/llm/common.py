@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import itertools
 import tempfile
 import uuid
@@ -94,8 +95,11 @@ def as_kind(spans: Column, k: int) -> Column:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACE_BYTES)] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers: dict[str, np.ndarray] = {}
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: The low n bytes of eight.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Longer spans are hashed one by one.
+LONG_SPAN = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -107,14 +111,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, for at least n bytes."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 20)
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
-        up[0] = down[0] = 1
-        _powers["up"], _powers["down"] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers["up"], _powers["down"]
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of data on, as one little-endian number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes of some spans. Eight bytes at a time are mixed in, each step a permutation of the
+    state: spans of one length of up to eight bytes never share a hash, others by chance only."""
+    size = end - start
+    out = mix(size.astype(np.uint64) + _STEP)
+    eight, at, left = eights(data), start, np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    done = 0
+    while len(left):
+        rest = size[left] - done
+        out[left] = mix((out[left] ^ (eight[at[left] + done] & _LOW[np.minimum(rest, 8)])) * _STEP)
+        left, done = left[rest > 8], done + 8
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
 
 
 class Words:
@@ -135,10 +151,7 @@ class Words:
         self.count = np.diff(self.bounds)
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.count)
         if hashed:
-            up, down = powers(n + 1)
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-            self.hash = mix((total[self.end] - total[self.start]) * down[self.start])
+            self.hash = span_hashes(data, self.start, self.end)
 
     def per_doc(self, flags: np.ndarray) -> np.ndarray:
         """Sums of something counted per byte."""

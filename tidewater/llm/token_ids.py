@@ -7,7 +7,8 @@ cache. The result equals encoding the whole text. Runs start where a token must
 - at white space after something else; byte-level: white space goes with what follows it, and no token holds white space
   after something else; words: white space separates and is dropped.
 
-Runs are told apart by 64-bit hashes of their bytes. A full cache is emptied; that costs time, never a token.
+Runs are looked up by 64-bit hashes of their bytes, and the bytes of each hit are compared with the run that was learnt;
+a text with a run that only shares a hash is encoded whole. A full cache is emptied; that costs time, never a token.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from .common import SPACE_BYTES, mix, powers
+from .common import _LOW, SPACE_BYTES, eights, span_hashes
 
 #: A cache of more runs, about 60 bytes each, is emptied before the next texts.
 CACHED_RUNS = 1 << 20
@@ -117,10 +118,14 @@ class Encoder:
         self.slots = Slots(max(16, (self.cached - 1).bit_length() + 1))
         self.known = self.used = 0
         self.ids = np.zeros(1 << 16, np.uint32)
+        # The ids of each run, and its bytes by eights: where they start, and how many there are.
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.spelt, self.spelt_at, self.n_bytes = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.spelt_used = 0
 
-    def learn(self, keys: np.ndarray, runs: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+    def learn(self, keys: np.ndarray, runs: list[bytes]) -> None:
+        self.spell(runs)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
         n, more = self.known, len(runs)
@@ -135,6 +140,34 @@ class Encoder:
         self.known += more
         self.used += len(flat)
 
+    def spell(self, runs: list[bytes]) -> None:
+        """Keeps the bytes of new runs, each padded to eights."""
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+        eighths = -(-sizes // 8)
+        flat = np.frombuffer(b"".join(r + bytes(-len(r) % 8) for r in runs), "<u8")
+        n, more = self.known, len(runs)
+        while len(self.spelt) < self.spelt_used + len(flat):
+            self.spelt = np.concatenate([self.spelt, np.zeros_like(self.spelt)])
+        while len(self.spelt_at) < n + more:
+            self.spelt_at, self.n_bytes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.spelt_at, self.n_bytes))
+        self.spelt[self.spelt_used : self.spelt_used + len(flat)] = flat
+        self.spelt_at[n : n + more] = self.spelt_used + np.cumsum(eighths) - eighths
+        self.n_bytes[n : n + more] = sizes
+        self.spelt_used += len(flat)
+
+    def differing(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The spans whose bytes are not those of the run at their place."""
+        size = end - start
+        same = self.n_bytes[at] == size
+        eight, kept, left, done = eights(data), self.spelt_at[at], np.flatnonzero(same), 0
+        while len(left) > 64 or done < 64 and len(left):
+            rest = size[left] - done
+            same[left] = (eight[start[left] + done] & _LOW[np.minimum(rest, 8)]) == self.spelt[kept[left] + done // 8]
+            left, done = left[same[left] & (rest > 8)], done + 8
+        for i in left.tolist():
+            same[i] = data[start[i] : end[i]].tobytes() == self.spelt[kept[i] : kept[i] + -(-size[i] // 8)].tobytes()[: size[i]]
+        return np.flatnonzero(~same)
+
     def runs(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the runs of some texts start and end."""
         n = len(data)
@@ -171,10 +204,7 @@ class Encoder:
         if self.known > self.cached:
             self.forget()
         start, end = self.runs(data, offsets) if n else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        up, down = powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-        key = mix((total[end] - total[start]) * down[start]) | np.uint64(1 << 63)
+        key = span_hashes(data, start, end) | np.uint64(1 << 63)
         at = self.slots.find(key)
         if len(missing := np.flatnonzero(at < 0)):
             new, first, back = np.unique(key[missing], return_index=True, return_inverse=True)
@@ -183,8 +213,12 @@ class Encoder:
                 held = np.flatnonzero(self.slots.keys)
                 old, self.slots = self.slots, Slots((2 * (self.known + len(new)) - 1).bit_length())
                 self.slots.add(old.keys[held], old.places[held])
-            self.learn(new, [raw[s:e].decode() for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+            self.learn(new, [raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)])
             at[missing] = self.known - len(new) + back
+        for run in self.differing(data, start, end, at).tolist():
+            i = int(np.searchsorted(offsets, start[run], "right")) - 1
+            if i not in whole:
+                whole[i] = self.tokenizer.encode(raw[offsets[i] : offsets[i + 1]].decode(), add_special_tokens=False).ids
         bounds = np.searchsorted(start, offsets)
         counts = np.diff(bounds)
         size = self.size[at]
