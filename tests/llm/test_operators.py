@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewater.llm import jaccard, langid, lm, mixing, packing, pii, quality, queries, secrets, token_files, topk, trigrams
+from tidewater.llm.common import span_hashes
 from tidewater.llm.token_ids import tokenizer_file
 
 from . import brute
@@ -240,10 +241,12 @@ def test_language(spark, odd, nothing):
     assert {r["lang_pred"] for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def test_lm(spark, odd, nothing):
-    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     for docs in (odd, spark.read.parquet(f"{SF}/documents.parquet")):
-        rows = [(d, [*brute.words((t or "").translate(low)), "\n"]) for d, t in texts(docs)]
+        rows = [(d, [*brute.words((t or "").translate(LOW)), "\n"]) for d, t in texts(docs)]
         train = [w for d, ws in rows if d is not None and zlib.crc32(str(d).encode()) % 10 for w in ws]
         c, n = Counter(train), len(train)
         want = sorted((d if d is not None else -1, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (len(c) + 1))) for w in ws), 3)) for d, ws in rows)
@@ -254,7 +257,7 @@ def test_lm(spark, odd, nothing):
 
 
 def test_lm_word_order(spark):
-    """A word is likelier after the words it follows in training; seatings agree with each other."""
+    """A word is likelier after the words it follows in training."""
     ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10]
     held = [i for i in range(200) if not zlib.crc32(str(i).encode()) % 10]
     rows = [(i, "red apple green pear blue plum" if i % 2 else "pear red plum blue apple green") for i in ids]
@@ -262,11 +265,72 @@ def test_lm_word_order(spark):
     got = {r["doc_id"]: r for r in lm.perplexities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[held[0]]["base_score"] == pytest.approx(got[held[1]]["base_score"])
     assert got[held[0]]["score"] > got[held[1]]["score"] + 2
-    model = lm.train(spark.createDataFrame(rows[: len(ids)], "doc_id long, text string"))
-    state = model.words.collect()
-    assert model.customers == sum(r["ks"] for r in state) / lm.SAMPLES and model.tables == sum(r["ts"] for r in state) / lm.SAMPLES
-    assert sum(r["c"] for r in state) == model.tokens == sum(r["c"] for r in model.pairs.collect())
-    assert all(1 <= r["ps"] / lm.SAMPLES <= r["c"] for r in model.seats.collect())
+
+
+def plain_score(model, text):
+    """log10 probability of a text under the model's seatings, token by token."""
+    words, pairs = {}, {}
+    for r in model.state.collect():
+        h, _, _, c, _, *samples = lm.load(r["words"])
+        per, context, n, _, *own = lm.load(r["pairs"])
+        for i, x in enumerate(np.cumsum(h).tolist()):
+            words[x] = [s[i] for s in samples]
+        word = np.repeat(np.cumsum(h), per).tolist()
+        for i, x in enumerate(zip(word, context.tolist(), strict=True)):
+            pairs[x] = (n[i], [o[i] for o in own[:-1]])
+    spelling, total, before = lm.Spelling(model.log_p), 0.0, lm.EDGE
+    for w in [*brute.words(text.translate(LOW)), None]:
+        data = np.frombuffer((w or "").encode(), np.uint8)
+        h = lm.EDGE if w is None else int(span_hashes(data, np.array([0]), np.array([len(data)]))[0])
+        base = lm.END_SHARE if w is None else (1 - lm.END_SHARE) * math.exp(spelling.log_words(data, np.array([0, len(data)]))[0])
+        context = int(lm.context_of(np.array([before], np.uint64))[0])
+        p = 0.0
+        for s in range(lm.SAMPLES):
+            k, t = words.get(h, [0] * 2 * lm.SAMPLES)[2 * s : 2 * s + 2]
+            alone = (k - lm.WORD_D * t + (lm.WORD_S + lm.WORD_D * model.tables[s]) * base) / (lm.WORD_S + model.customers[s])
+            n, own = pairs.get((h, context), (0, [0] * lm.SAMPLES))
+            p += (n - lm.CONTEXT_D * own[s] + (lm.CONTEXT_S + lm.CONTEXT_D * model.rooms[s][context]) * alone) / (lm.CONTEXT_S + model.served[context])
+        total += math.log10(p / lm.SAMPLES)
+        before = h
+    return total
+
+
+def test_lm_score_against_plain(spark, odd, monkeypatch):
+    """Scores equal those of the seatings, however the rows are dealt and however many ranges there are."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    model = lm.train(docs)
+    for d in (docs, odd.filter("n_chars is null or n_chars <> 7")):
+        for r in lm.score(d, model).join(d.select("doc_id", "text"), "doc_id").filter("length(text) < 3000").dropDuplicates(["doc_id"]).collect():
+            assert r["score"] == pytest.approx(plain_score(model, r["text"]), rel=1e-9)
+    want = {r["doc_id"]: r["score"] for r in lm.score(docs, model).collect()}
+    monkeypatch.setattr(lm, "RANGE_BYTES", 1 << 14)
+    monkeypatch.setattr(lm, "PIECE_BYTES", 1 << 13)
+    again = lm.train(docs.repartition(7))
+    assert again.ranges > 4 and again.tokens == model.tokens and again.distinct == model.distinct
+    for r in lm.score(docs.repartition(5), again).collect():
+        assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-6)
+
+
+def test_lm_seating():
+    """Seats taken and given one by one follow the distribution of seatings."""
+    n, discount, strength, p = 4, 0.7, 1.5, 0.2
+    want, total = 0.0, 0.0
+    for parts, ways in (((4,), 1), ((3, 1), 4), ((2, 2), 3), ((2, 1, 1), 6), ((1, 1, 1, 1), 1)):
+        weight = ways * math.prod(math.prod(j - discount for j in range(1, s)) for s in parts) * math.prod((strength + discount * i) * p for i in range(len(parts)))
+        want, total = want + weight * len(parts), total + weight
+    dishes = 20_000
+    key, own = np.arange(1, dishes + 1, dtype=np.uint64), np.full(dishes, n)
+    t, sizes = np.ones(dishes, np.int64), np.full(dishes, n)
+    for sweep in range(12):
+        t, sizes = lm.reseat(own, t, sizes, np.full(dishes, strength), np.full(dishes, p), discount, key, sweep)
+        assert len(sizes) == t.sum() and (sizes > 0).all()
+        assert (np.add.reduceat(sizes, np.cumsum(t) - t) == n).all()
+    assert t.mean() == pytest.approx(want / total, abs=0.02)
+    own = np.array([2, 5, 1000, 3, 10**9])
+    t = lm.first_tables(own, np.full(5, 0.5), 0.7, np.full(5, 0.5))
+    assert (t >= 1).all() and (t <= own).all()
+    again, sizes = lm.reseat(own, t, lm.first_sizes(own, t), np.full(5, 2.0), np.full(5, 0.1), 0.7, np.arange(5, dtype=np.uint64), 0)
+    assert (np.add.reduceat(sizes, np.cumsum(again) - again) == own).all()
 
 
 def test_lm_probabilities_add_up():

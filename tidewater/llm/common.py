@@ -37,7 +37,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Removes the files of a staged table that nothing needs any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_path)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def doc_key(*cols: str) -> Column:
