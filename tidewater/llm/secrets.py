@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import trigrams
-from .common import as_kind, doc_key, find_spans, no_spans, spans_text, stage
+from .common import SPAN_BLOCK, as_kind, doc_key, find_spans, no_spans, spans_text, stage
 
 
 @dataclass(frozen=True)
@@ -31,7 +31,7 @@ class Rule:
     query: trigrams.Query = field(init=False, default=True)
 
     def __post_init__(self):
-        object.__setattr__(self, "query", trigrams.query(self.pattern.replace("++", "+")))
+        object.__setattr__(self, "query", trigrams.query(self.pattern))
 
 
 #: All up to the END line, or, where a key is cut off, header fields and a run of base64 that begins with a long piece.
@@ -87,23 +87,27 @@ def verify(text: Column, rule: Rule) -> Column:
     return spans
 
 
-def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """docs with __t, its text without nulls, and __spans, one array<struct<s, e, m>> for each rule by its kind."""
-    found = stage(candidates(index(docs, rules, text), rules), "secret-candidates")
+def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", posted: DataFrame | None = None) -> DataFrame:
+    """docs with __t, its text without nulls, and __spans, one array<struct<s, e, m>> for each rule by its kind.
+
+    posted: an index() of these documents that was kept from another run, by the same rules or others with the same
+    trigrams; otherwise it is built."""
+    found = stage(candidates(index(docs, rules, text) if posted is None else posted, rules), "secret-candidates")
     rows = keyed(docs, text).join(found, "__key", "left")
     bits = F.coalesce("bits", F.lit(0).cast("long"))
     each = [verify(F.col("__t"), r) if r.query is True else F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, verify(F.col("__t"), r)).otherwise(no_spans()) for i, r in enumerate(rules)]
     return rows.withColumn("__spans", F.struct(*[x.alias(r.kind) for x, r in zip(each, rules, strict=True)])).drop("__key", "bits")
 
 
-def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", posted: DataFrame | None = None) -> DataFrame:
     """doc_id, n_<kind> of the base rules, base_sha256, spans (base rules and the others), n_found (the others').
 
-    A null text is empty and has no spans; repeated rows are all returned; an empty table gives no rows; columns other
-    than doc_id and the text are ignored. Spans of different kinds may overlap and all stay.
+    A null text is empty and has no spans; texts of any length are scanned whole; a null id is returned as it is;
+    repeated rows are all returned; an empty table gives no rows; columns other than doc_id and the text are ignored.
+    Spans of different kinds may overlap and all stay; ties in start are ordered by kind as listed, then end.
     """
     kinds = [r.kind for r in rules]
-    out = scanned(docs.select("doc_id", F.col(text).alias("text")), rules)
+    out = scanned(docs.select("doc_id", F.col(text).alias("text")), rules, posted=posted)
     joined = lambda some: F.concat(*[as_kind(F.col("__spans")[r.kind], i) for i, r in enumerate(rules) if some(r)])
     n = [F.size(F.col("__spans")[r.kind]).cast("long").alias(f"n_{r.kind}") for r in rules if r.base]
     out = out.select("doc_id", *n, joined(lambda r: r.base).alias("base"), joined(lambda r: not r.base).alias("more"))
@@ -111,17 +115,21 @@ def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with the secrets in their texts replaced by the mark; all rows and columns stay, texts without secrets as
-    they are. Overlapping spans of several rules are replaced as one."""
+    """docs with the secrets in their texts replaced by the mark; all rows and columns stay, texts without secrets, and
+    nulls, as they are; texts of any length are redacted whole; an empty table stays empty. Overlapping spans of several
+    rules are replaced as one."""
     names = docs.columns
     out = scanned(docs, rules, text)
     all_spans = F.array_sort(F.concat(*[as_kind(F.col("__spans")[r.kind], i) for i, r in enumerate(rules)]))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
     def cut(acc: Column, x: Column) -> Column:
         apart = x["s"] >= acc["at"]
         kept = F.substring(F.col("__t"), acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(apart, F.concat(acc["parts"], F.array(kept, F.lit(mark)))).otherwise(acc["parts"]).alias("parts"))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(apart, F.concat(acc["done"], kept, F.lit(mark))).otherwise(acc["done"]).alias("done"))
 
-    done = F.aggregate(all_spans, state, cut, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("__t"), acc["at"] + 1, F.length("__t"))))
+    # Spans are taken in blocks, so that the text before them isn't copied for each one.
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_spans) - 1) / SPAN_BLOCK).cast("int")), lambda b: F.slice(all_spans, b * SPAN_BLOCK + 1, SPAN_BLOCK))
+    block = lambda acc, own: F.aggregate(own, F.struct(acc["at"].alias("at"), F.lit("").alias("done")), cut, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["done"], x["done"]).alias("done")))
+    done = F.aggregate(blocks, state, block, lambda acc: F.concat(acc["done"], F.substring(F.col("__t"), acc["at"] + 1, F.length("__t"))))
     return out.withColumn(text, F.when(F.size(all_spans) > 0, done).otherwise(F.col(text))).select(*names)
