@@ -70,3 +70,76 @@ def jaccard_classes(docs, threshold=0.8):
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
     return {d: (root(d), links[d]) for d in sets}
+
+
+TOKEN = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*[0-9@][^\x20\x09-\x0D]*")
+GROUPS = re.compile(r"(?<![A-Za-z0-9])(?<![A-Za-z0-9][-._/@])\(?[0-9]++(?![A-Za-z])(?:[\x20()-]{1,3}+[0-9]++(?![A-Za-z]))++")
+BLANK = "\x20\t\n\x0b\x0c\r"
+
+
+def masked(s):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]", "9", s.lower()))
+
+
+def contexts(text, start, end):
+    left = [(m.start(), m.group()) for m in WORDS.finditer(text[:start])]
+    right = re.match(r"[^\x20\x09-\x0D]*[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)", text[end:])
+    if len(left) < 2:
+        return []
+    out = [masked(text[left[-2][0] : start].rstrip(BLANK)) + " _"]
+    return out + [masked(left[-1][1]) + " _ " + masked(right.group(1))] if right else out
+
+
+def discovered(docs, support=4, confidence=0.8, certainty=0.8):
+    """docs: texts -> for each the spans (start, kind, end) that bootstrapping adds to the base spans."""
+    names = [k for k, _, _ in PII]
+    found, pairs, candidates = [], {}, []
+    for i, text in enumerate(docs):
+        text = text or ""
+        base = [(a, b, names.index(k)) for k, a, b in spans(text, PII)]
+        cores = []
+        for m in TOKEN.finditer(text):
+            core = re.sub(r"^[^A-Za-z0-9]+", "", m.group())
+            a = m.end() - len(core)
+            core = re.sub(r"[^A-Za-z0-9]+$", "", core)
+            cores.append((a, a + len(core)))
+        private = lambda a, b: n_digits(text[a:b]) >= 5 or "@" in text[a:b]  # noqa: E731, B023
+        cores = {x for x in cores if private(*x)}
+        groups = {m.span() for m in GROUPS.finditer(text) if private(*m.span())} - cores
+        own = [(a, b, None, False) for a, b in cores] + [(a, b, None, any(a <= c and d <= b for c, d in cores)) for a, b in groups]
+        own = [x for x in own if not any(a < x[1] and x[0] < b for a, b, _ in base)]
+        for a, b, k, wide in [(a, b, k, False) for a, b, k in base] + own:
+            for p in contexts(text, a, b):
+                old = pairs.get((p, text[a:b]), (None, True))
+                pairs[p, text[a:b]] = (min((x for x in (old[0], k) if x is not None), default=None), old[1] and wide)
+        candidates += [(i, a, b, text[a:b]) for a, b, _, _ in own]
+    known = {}
+    for (_, v), (k, _) in pairs.items():
+        if k is not None:
+            known[v] = min(known.get(v, k), k)
+    while True:
+        by_pattern = defaultdict(list)
+        for (p, v), (_, wide) in pairs.items():
+            if not wide or v in known:
+                by_pattern[p].append(known.get(v))
+        sure = {}
+        for p, kinds in by_pattern.items():
+            best, k = max((kinds.count(k), -k) for k in range(len(names)))
+            if best >= support and best / len(kinds) >= confidence:
+                sure[p] = (-k, best / len(kinds))
+        doubt = defaultdict(lambda: 1.0)
+        for p, v in pairs:
+            if v not in known and p in sure:
+                doubt[v, sure[p][0]] *= 1 - min(sure[p][1], 0.999)
+        new = {}
+        for (v, k), d in doubt.items():
+            if 1 - d >= certainty:
+                new[v] = max(new.get(v, (0, -9)), (1 - d, -k))
+        if not new:
+            break
+        known |= {v: -k for v, (_, k) in new.items()}
+    out = [[] for _ in docs]
+    for i, a, b, v in candidates:
+        if v in known:
+            out[i].append((a, known[v], b))
+    return [sorted(x) for x in out]

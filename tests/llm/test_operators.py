@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -92,6 +93,30 @@ def test_pii_goes_on_while_the_graph_grows(spark):
     assert got[36] == "card:14:33" and got[37] == "card:14:28" and got[38] == "" and got[-1] == ""
 
 
+def test_pii_against_plain_bootstrap(spark, odd):
+    rng = random.Random(2)
+    card = lambda: next(c for c in (f"{rng.randrange(40, 60)}{rng.randrange(10**14):014d}" for _ in range(999)) if brute.luhn(c))
+    usual = [("my account", card), ("call me at", lambda: f"+1 555 {rng.randrange(10**6):06d}"), ("write to my", lambda: f"a{rng.randrange(99)}@b.org")]
+    other = [lambda: f"ID-{rng.randrange(30):05d}", lambda: f"555 01{rng.randrange(9)} 9999", lambda: f"u{rng.randrange(9)}@local"]
+    part = lambda before, make: [before if rng.random() < 0.9 else "w" * 3000, make() if rng.random() < 0.9 else rng.choice(other)(), rng.choice(["today", "now,", "", ". Then"])]
+    lines = [" ".join(x for _ in range(rng.randrange(1, 9)) for x in part(*rng.choice([*usual, ("order", other[0])]))) for _ in range(150)]
+    for rows in (texts(spark.read.parquet(f"{SF}/documents.parquet")), list(enumerate(lines)), [(i, t) for i, t in enumerate(TEXTS) if t != LONG]):
+        got = pii.pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        want = {}
+        for (d, t), more in zip(rows, brute.discovered([t for _, t in rows]), strict=True):
+            found = [(a, pii.KINDS.index(k), b) for k, a, b in brute.spans(t, brute.PII)]
+            want[d] = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted([*found, *more]))
+        assert {r["doc_id"]: r["spans"] for r in got} == want
+    assert any(r["n_found"] for r in pii.pii(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect())
+
+
+def test_pii_of_many_in_one_text(spark):
+    text = " ".join(f"my account 4111111111111111 order {i:06d} x" for i in range(20_000)) + " end"
+    start = time.time()
+    row = pii.pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["n_card"] == 20_000 and time.time() - start < 120
+
+
 def test_secrets_whole_keys(spark):
     body = "\n".join("MIIEvQIBADANBgkqhkiG9w0BAQEFAASCBKcwggSjAgEAAoIBAQ" + str(i) * 12 for i in range(5)) + "\nab/+c=="
     key = lambda kind, fields="": f"-----BEGIN {kind}-----\n{fields}{body}\n-----END {kind}-----"

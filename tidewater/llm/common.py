@@ -59,8 +59,9 @@ def doc_key(*cols: str) -> Column:
 SPAN_BLOCK = 256
 
 
-def find_spans(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, m>> of the leftmost non-overlapping matches, in code points, end exclusive.
+def find_spans(text: Column, pattern: str, around: bool = False) -> Column:
+    """array<struct<s, e, m>> of the leftmost non-overlapping matches, in code points, end exclusive; if asked for, also
+    before and after, the text on both sides up to the next match but one, and first and last, whether that is all.
 
     The pieces between the matches come from split(); a span starts where all earlier pieces and matches end.
     Their lengths are summed in blocks, so that many matches don't cost the square of their number.
@@ -79,15 +80,20 @@ def find_spans(text: Column, pattern: str) -> Column:
     def one(x: Column, heads: Column, m: Column, i: Column) -> Column:
         block = F.floor(i / SPAN_BLOCK).cast("int")
         start = F.get(heads, block) + add(F.slice(x["lens"], block * SPAN_BLOCK + 1, i - block * SPAN_BLOCK)) + F.length(F.get(x["pieces"], i))
-        return F.struct(start.cast("int").alias("s"), (start + F.length(m)).cast("int").alias("e"), m.alias("m"))
+        out = [start.cast("int").alias("s"), (start + F.length(m)).cast("int").alias("e"), m.alias("m")]
+        if around:
+            at = lambda name, j: F.coalesce(F.get(x[name], j), F.lit(""))
+            out += [F.concat(at("pieces", i - 1), at("found", i - 1), at("pieces", i)).alias("before"), F.concat(at("pieces", i + 1), at("found", i + 1), at("pieces", i + 2)).alias("after")]
+            out += [(i <= 1).alias("first"), (i >= F.size(x["found"]) - 2).alias("last")]
+        return F.struct(*out)
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    hits = bind(found, lambda ms: F.when(F.size(ms) > 0, bind(F.struct(ms.alias("found"), F.split(text, pattern, -1).alias("pieces")), measured)).otherwise(no_spans()))
-    return F.coalesce(hits, no_spans())
+    hits = bind(found, lambda ms: F.when(F.size(ms) > 0, bind(F.struct(ms.alias("found"), F.split(text, pattern, -1).alias("pieces")), measured)).otherwise(no_spans(around)))
+    return F.coalesce(hits, no_spans(around))
 
 
-def no_spans() -> Column:
-    return F.array().cast("array<struct<s:int,e:int,m:string>>")
+def no_spans(around: bool = False) -> Column:
+    return F.array().cast("array<struct<s:int,e:int,m:string" + ",before:string,after:string,first:boolean,last:boolean" * around + ">>")
 
 
 def spans_text(spans: Column, kinds: list[str]) -> Column:
