@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewater.llm import jaccard, langid, lm, mixing, packing, pii, quality, queries, secrets, token_files, topk, trigrams
-from tidewater.llm.common import span_hashes
+from tidewater.llm.common import shared_dir, span_hashes
 from tidewater.llm.token_ids import tokenizer_file
 
 from . import brute
@@ -261,6 +261,11 @@ def test_jaccard(spark, odd, nothing):
     got = {r["doc_id"]: r for r in out if r["doc_id"] is not None}
     assert got[11]["class_id"] == got[12]["class_id"] == got[13]["class_id"] == 11 and got[12]["n_links"] == 2
     assert got[0]["class_id"] == 0 and got[0]["n_links"] == 0 and got[3]["n_links"] == 2
+    assert [got[i]["n_copies"] for i in (0, 3, 11, 12, 13, 14)] == [0, 2, 2, 2, 2, 0]
+    # Repeated rows that differ in other columns: the same one stays, however they are dealt.
+    twice = spark.createDataFrame([(1, "a b c d e f", "s", 1), (1, "a b c d e f", "t", 2), (None, None, "u", 3), (2, "a b c d e f", "t", 4)], "doc_id long, text string, source string, n int")
+    kept = {tuple(map(str, sorted(map(str, jaccard.one_each(twice.repartition(n)).collect())))) for n in (1, 3)}
+    assert len(kept) == 1 and len(next(iter(kept))) == 2
     assert jaccard.join(nothing).count() == 0 and jaccard.one_each(nothing).count() == 0
 
 
@@ -275,7 +280,16 @@ def test_jaccard_blocks(spark, monkeypatch):
             w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
         rows.append((i, " ".join(w)))
     rows += [(1000 + i, " ".join(f"y{rng.randrange(10**6)}" for _ in range(60))) for i in range(20)]
+    # Pairs about the threshold: 4 to 6 words of 200 changed, far apart.
+    for i in range(60):
+        w = [f"z{rng.randrange(10**6)}" for _ in range(200)]
+        other = list(w)
+        for j in range(4 + i % 3):
+            other[10 + 30 * j] = f"x{rng.randrange(10**6)}"
+        rows += [(2000 + 2 * i, " ".join(w)), (2001 + 2 * i, " ".join(other))]
     monkeypatch.setattr(jaccard, "BLOCK", 32)
+    monkeypatch.setattr(jaccard, "HEAVY_EDGES", 4)
+    monkeypatch.setattr(jaccard, "HEAVY_NODES", 1 << 30)
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute.jaccard_classes(rows)
 
@@ -437,6 +451,24 @@ def test_packing(spark, odd, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_packing_deals_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_BYTES", 1000)
+    docs = spark.createDataFrame([(i, "word " * 100) for i in range(20)], "doc_id long, text string")
+    assert len({r["sequence_id"] >> 32 for r in packing.pack(docs, with_ids=False).collect()}) > 3
+
+
+def test_shared_folder(spark, monkeypatch):
+    class Conf:
+        get = staticmethod(lambda *a: None)
+
+    class Session:
+        conf, sparkContext = Conf, type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        shared_dir(Session())
+    assert shared_dir(spark)
+
+
 def test_packing_takes_all_neighbours():
     """Short documents of two topics in turn, with many words of their own, and a very long one: a topic stays together."""
     short = [[*range(1000 + 30 * i, 1030 + 30 * i), *range(10 * (i % 2), 10 * (i % 2) + 5)] for i in range(200)]

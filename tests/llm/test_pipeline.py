@@ -42,3 +42,21 @@ def test_stages_against_brute_force(spark):
 
     packed = p.run(spark, SF).collect()
     assert Counter(r["doc_id"] for r in packed if r["start"] == 0) == Counter(r["doc_id"] for r in mixed)
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls in all columns, empty and very long texts, repeated rows, clashing names; and an empty table."""
+    import corpus_pipeline as p
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, bin int, part double, shard int, fail_bits long"
+    words = " ".join(f"word{i}" for i in range(80))
+    texts = [None, "", words, words, f"{words} password=hunter2222", "word " * 30_000, words + " more", " \n"]
+    rows = [(i, t, None, [None, "s"][i % 2], None, "k", 1, 0.5, 2, 3) for i, t in enumerate(texts)] + [(None, words + " x y z", "en", "s", 1, "k", 1, 0.5, 2, 3)] * 2
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        some, columns = docs.count(), docs.columns
+        for i, (_, step) in enumerate(p.STAGES):
+            docs = p.stage(step(spark, docs, SF), "test-stage")
+            assert docs.columns == columns or i == len(p.STAGES) - 1
+        out = docs.collect()
+        assert bool(out) == bool(some)
+        assert all(0 < r["length"] <= r["doc_tokens"] for r in out)

@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import hashlib
 import itertools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where none is configured (tests)."""
+    """The folder that the driver and all executors see; a temporary one only on a local master without a setting."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = getattr(spark, "_tidewater_shared", None) or tempfile.mkdtemp(prefix="tidewater-")
         spark._tidewater_shared = path
     return path.rstrip("/")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, by_key, doc_key, in_pieces, mix, runs, stage
+from .common import Words, by_key, doc_key, in_pieces, mix, runs, stage, unstage
 from .token_ids import binaries
 
 SHINGLE = 5
@@ -33,6 +33,8 @@ SIGNATURE = BANDS * ROWS
 STEPS = (16, 32, 48, 64, 80)
 TOLERANCE = 1e-6
 BLOCK = 512
+#: A node with more edges than HEAVY_EDGES and than a HEAVY_NODES-th of all is heavy.
+HEAVY_EDGES, HEAVY_NODES = 2048, 1 << 15
 _A = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -196,20 +198,24 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     """node, root (the least node of its component) of every node of the edges a, b.
 
     Rounds of large-star and small-star: each node's larger neighbours, then its smaller ones, are tied to its least
-    neighbour, until nothing changes. A round's edges are written to the shared folder.
+    neighbour, until nothing changes. A round's edges are written to the shared folder. Nodes with very many edges, at
+    most HEAVY_NODES, get their least neighbour by a broadcast, so that their edges stay where they are.
     """
     now = stage(edges.filter("a <> b").distinct(), label)
+    heavy = max(HEAVY_EDGES, 2 * now.count() // HEAVY_NODES)
 
     def star(e: DataFrame, larger: bool) -> DataFrame:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if larger else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        tied = both.join(least, "a")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        many = F.broadcast(least.filter(F.col("n") > heavy).drop("n"))
+        tied = both.join(many, "a").unionByName(both.join(many, "a", "left_anti").join(least.filter(F.col("n") <= heavy).drop("n"), "a"))
         out = tied.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if larger else tied.select("b", "m", "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*")
         return out.filter("a <> b").distinct()
 
     seen = None
     while True:
-        now = stage(star(star(now, True), False), label)
+        before, now = now, stage(star(star(now, True), False), label)
+        unstage(before)
         # The sum of all edges' hashes is the same only when nothing moved.
         total = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if total == seen:
@@ -288,7 +294,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
 
     class_id is the least doc_id of the documents that links connect, n_links the number of other documents with a
     similarity of the threshold or more, of which n_copies have the same shingle set. Words are compared as they are. A
-    text of one to four words has one shingle; null texts and texts without words have none, no links, and are classes
+    text of one to four words has one shingle; texts of any length are compared whole; null texts and texts without words have none, no links, and are classes
     of their own (class_id is their doc_id). Repeated rows are documents of their own that are copies of each other; an
     empty table gives no rows; other columns are ignored. key is a hash of doc_id and text.
     """
@@ -316,8 +322,15 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
 
 
 def one_each(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, text: str = "text") -> DataFrame:
-    """docs with one document of each class: that of the least doc_id (nulls last; ties: the least key). All columns
-    stay; rows without words are kept unless they are repeated rows."""
+    """docs with one document of each class: that of the least doc_id (nulls last; ties: the least key, then the least
+    hash of the whole row, so that a rerun keeps the same one). All columns stay; null texts and those without words are
+    kept unless rows with their doc_id repeat; an empty table stays empty; texts of any length are compared whole."""
+    names = docs.columns
     joined = join(docs, threshold, tolerance, text)
-    kept = joined.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("key"))).alias("m")).select(F.col("m.key").alias("__key"))
-    return docs.withColumn("__key", doc_key("doc_id", text)).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    kept = joined.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("key"))).alias("m"))
+    # A row is known by its id and a hash of its text, not by the hash alone.
+    kept = kept.select(F.col("m.key").alias("__kept"), F.col("m.doc_id").alias("__id"))
+    rows = docs.withColumn("__key", doc_key("doc_id", text))
+    rows = rows.join(kept, (F.col("__key") == F.col("__kept")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    one = F.min_by(F.struct(*names), F.xxhash64(*names))
+    return rows.groupBy("__key", F.col("doc_id").alias("__id")).agg(one.alias("row")).select("row.*")

@@ -173,7 +173,11 @@ def train(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS, how
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """doc_id, held_out, lang_pred, score; und and 0 where the text is null or has no letter, or nothing was learned."""
+    """doc_id, held_out, lang_pred, score; und and 0 where the text is null or has no letter, or nothing was learned.
+
+    Ties between languages go to the first by code point; a null id is not held out and returned as it is; texts of any
+    length are read whole; repeated rows are predicted alike; an empty table gives no rows; other columns are ignored.
+    """
     schema = "doc_id long, held_out boolean, lang_pred string, score double"
     rows_in = docs.select("doc_id", in_fold(F.col("doc_id")).alias("held_out"), F.coalesce(fold(F.col(text)), F.lit("")).alias("t"))
     if model is None:

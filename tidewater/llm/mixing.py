@@ -60,7 +60,7 @@ def plan(sized: DataFrame, most_epochs: int, weights: tuple[int, ...]) -> DataFr
 def mix(docs: DataFrame, most_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: str = SEED, text: str = "text") -> DataFrame:
     """doc_id, size, source_size, target, taken: the words that the mix takes of each document, repeats counted.
 
-    A null text has size 0, a null source is a source of its own; repeated rows are mixed alike; an empty table gives
+    A null or empty text has size 0, texts of any length count whole, ties in cap over weight go by source; a null source is a source of its own; repeated rows are mixed alike; an empty table gives
     no rows; other columns are ignored. No document exceeds most_epochs times its size.
     """
     t = F.col(text)
@@ -72,27 +72,31 @@ def mix(docs: DataFrame, most_epochs: int = 3, weights: tuple[int, ...] = (1, 2,
 
 def mixed(docs: DataFrame, most_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: str = SEED, text: str = "text") -> DataFrame:
     """The mix itself: each document as often as it is taken; one document of a source at most gives its first words
-    for a part; columns of docs stay."""
+    for a part; columns of docs stay. Null texts and those without words are taken as often as their source is taken
+    whole; repeated rows are mixed alike; an empty table stays empty."""
     names = docs.columns
     t = F.col(text)
-    by_bin = F.col("source").eqNullSafe(F.col("own")) & (F.col("__bin") == F.col("own_bin"))
+    by_bin = F.col("source").eqNullSafe(F.col("__own")) & (F.col("__bin") == F.col("__own_bin"))
     rows = docs.select("*", bin_of(t, seed).alias("__bin"))
-    chosen = stage(plan(rows.select("source", F.col("__bin").alias("bin"), words(t).alias("size")), most_epochs, weights), "mix-plan")
-    edge = (F.col("part") > 0) & (F.col("part") < 1)
+    chosen = plan(rows.select("source", F.col("__bin").alias("bin"), words(t).alias("size")), most_epochs, weights)
+    # The plan's names give way to columns of docs.
+    chosen = stage(chosen.toDF(*[f"__{c}" for c in chosen.columns]), "mix-plan")
+    times, share = F.col("__times"), F.col("__part")
+    edge = (share > 0) & (share < 1)
     out = rows.join(chosen, by_bin)
     # Whole bins, in one pass over the texts.
-    whole = out.filter(~edge).withColumn("__copy", F.explode(F.array_repeat(t, (F.col("times") + F.when((F.col("part") == 1) & t.rlike(WORD), 1).otherwise(0)).cast("int"))))
+    whole = out.filter(~edge).withColumn("__copy", F.explode(F.array_repeat(t, (times + F.when((share == 1) & t.rlike(WORD), 1).otherwise(0)).cast("int"))))
     # The one bin of each source that is taken in part, about a thousandth of the rows.
     row = F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(t, F.lit("")))
     some = out.filter(edge).withColumn("__size", words(t)).withColumn("__order", F.md5(row))
     before = F.coalesce(F.sum("__size").over(Window.partitionBy("source").orderBy("__order").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # Half a thousandth is far above the error of part * words.
-    missing = F.floor(F.col("part") * F.col("words") + 0.0005)
+    missing = F.floor(share * F.col("__words") + 0.0005)
     some = some.withColumn("__extra", F.greatest(F.lit(0), F.least(F.col("__size"), missing - before)).cast("int"))
     extra = F.col("__extra")
     # The words of a part, with the white space before each; a whole repetition keeps its text as it is.
     head = F.array_join(F.slice(F.regexp_extract_all(t, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), extra), "")
-    full = F.array_repeat(t, (F.col("times") + F.when((extra == F.col("__size")) & (extra > 0), 1).otherwise(0)).cast("int"))
+    full = F.array_repeat(t, (times + F.when((extra == F.col("__size")) & (extra > 0), 1).otherwise(0)).cast("int"))
     copies = F.when((extra > 0) & (extra < F.col("__size")), F.concat(full, F.array(head))).otherwise(full)
     some = some.withColumn("__copy", F.explode(copies))
     return whole.unionByName(some, allowMissingColumns=True).withColumn(text, F.col("__copy")).select(*names)

@@ -1,6 +1,6 @@
 """Packing documents into token windows by lexical retrieval.
 
-Documents are dealt by hash into shards of about SHARD_DOCS, however many there are; each shard is packed alone. A
+Documents are dealt by hash into shards of about SHARD_DOCS, or SHARD_BYTES if that is less; each shard is packed alone. A
 shard builds an inverted index of its documents' ids with BM25 weights. The document at the head of a window is the
 seed: all its terms are looked up, and the unused neighbours they score fill the window in falling order; the one that
 crosses the window's end is cut there and its rest is the next seed. Only when no scored neighbour is left does the next
@@ -25,6 +25,8 @@ from .token_ids import binaries
 
 WINDOW = 4096
 SHARD_DOCS = 2048
+#: A shard's bytes of text: with longer documents it holds fewer of them.
+SHARD_BYTES = 16 << 20
 K1, B = 1.2, 0.75
 
 
@@ -103,13 +105,15 @@ def cuts(total: int, window: int) -> np.ndarray:
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", rule: str = "word", end_id: int = 2, window: int = WINDOW, shard_docs: int = SHARD_DOCS, text: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids.
 
-    A null text is empty and packs its end id; a text longer than a window is cut into several pieces; repeated rows
-    are packed one by one; an empty table gives no pieces; other columns are ignored. sequence_id is the shard times
+    A null text is empty and packs its end id; a text longer than a window is cut into several pieces, and a task holds
+    the longest whole; repeated rows are packed one by one; ties in score go by doc_id (null ids first), then ids; an empty
+    table gives no pieces; other columns are ignored. sequence_id is the shard times
     2**32 and a count; offsets run gapless from 0. The window must be a power of two.
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
-    shards = max(1, -(-docs.count() // shard_docs))
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
+    shards = max(1, -(-size["n"] // shard_docs), -(-size["bytes"] // SHARD_BYTES))
     named = docs.select("doc_id", F.pmod(doc_key("doc_id", text), F.lit(shards)).alias("shard"), F.col(text).alias("text"))
     kind = id_type(tokenizer)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids

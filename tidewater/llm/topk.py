@@ -138,6 +138,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, shard_rows: int = SHARD_ROW
             out = [(int(ids[o]), int(h[o]), -v, s) for o, found in zip(own, best, strict=True) for s, v in found]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["query_id", "query_key", "vec_id", "score"])
 
-    found = by_key(dealt, "task").mapInArrow(searched, "query_id long, query_key long, vec_id long, score long")
+    # More partitions than tasks' worth of work, so that two of them seldom meet; empty ones cost little.
+    found = by_key(dealt, "task", 3 * n_groups * n_blocks).mapInArrow(searched, "query_id long, query_key long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
