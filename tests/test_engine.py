@@ -1,6 +1,9 @@
 import datetime
+import itertools
 import math
+import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import arrays, seq
 from tidewater.functions.html import Finder, parsed
-from tidewater.operators import attribution, cdc, routing
+from tidewater.operators import attribution, cdc, routing, windows
 from tidewater.operators.aggregate import aggregate
 from tidewater.operators.select import select
 from tidewater.plans import expr, runner, sqlx
@@ -204,6 +207,90 @@ def test_attribution(spark):
     assert attribution.adtributor(leaves, ["region", "category"]).first()["slice_values"] == "a"
 
 
+def plain_causes(leaves, risk=0.5, pep=0.02, layers=3, top=3):
+    """leaves: (values, f, v) -> the slices, {dimension: value}, that the search by risk finds, and their powers."""
+    change = sum(v for _, _, v in leaves) - sum(f for _, f, _ in leaves)
+    if not leaves or not change:
+        return []
+    dev = [0.0 if f + v == 0 else 2 * (f - v) / (f + v) for _, f, v in leaves]
+    u = sorted(set(dev))
+    low, high = (u[5] if len(u) > 5 else u[-1]), (u[-6] if len(u) > 5 else u[0])
+    cut = -low if abs(low) <= abs(high) else -high
+    right = math.copysign(1, cut) > 0
+    odd = [x > cut if right else x < cut for x in dev]
+    if not any(odd):
+        up, down = sum(x for x in dev if x > 0), -sum(x for x in dev if x < 0)
+        if up or down:
+            cut, odd = 0.0, [x > 0 if up > down else x < 0 for x in dev]
+    weight = [min(1, abs(x)) if o else 0 if f == v == 0 else min(1, abs(cut - x)) for x, o, (_, f, v) in zip(dev, odd, leaves)]
+    power = [(v - f) / change for _, f, v in leaves]
+    if sum(p for p, o in zip(power, odd) if o) < 0:
+        power = [-p for p in power]
+    least = pep * sum(p for p, o in zip(power, odd) if o)
+    alive, out = set(range(len(leaves))), []
+    while len(out) < top and sum(power[i] for i in alive if odd[i]) >= least:
+        best = None
+        for layer in range(1, min(layers, len(leaves[0][0])) + 1):
+            for dims in itertools.combinations(range(len(leaves[0][0])), layer):
+                slices = {}
+                for i in sorted(alive):
+                    slices.setdefault(tuple(leaves[i][0][d] for d in dims), []).append(i)
+                for values, rows in sorted(slices.items(), key=lambda x: (-sum(power[i] for i in x[1]), x[0])):
+                    own = sum(power[i] for i in rows)
+                    if own <= (best[1] if best else least) or not any(odd[i] for i in rows):
+                        continue
+                    hit, rest = sum(weight[i] for i in rows if odd[i]), sum(weight[i] for i in rows if not odd[i])
+                    both = [i for i in rows if leaves[i][1] and leaves[i][2]]
+                    even, base = 0.0, sum(abs(dev[i]) for i in both)
+                    for i in both:
+                        a = leaves[i][1] * sum(leaves[j][2] for j in both) / sum(leaves[j][1] for j in both)
+                        even += abs(2 * (a - leaves[i][2]) / (a + leaves[i][2]))
+                    if hit / (hit + 1 + rest) - (even / base if base else 0) >= risk:
+                        best = (dict(zip(dims, values)), own, rows)
+                        break
+            if best:
+                break
+        if not best:
+            break
+        out.append((best[0], round(best[1], 9)))
+        alive -= set(best[2])
+    return out
+
+
+def test_causes_against_plain_search():
+    rng = random.Random(4)
+    found = 0
+    for case in range(60):
+        shape = [rng.randrange(2, 5) for _ in range(rng.randrange(1, 4))]
+        hit = {d: rng.randrange(n) for d, n in enumerate(shape) if rng.random() < 0.6}
+        leaves = []
+        for values in itertools.product(*map(range, shape)):
+            f = rng.choice([0.0, 10.0, 20.0, 50.0])
+            v = f * (rng.choice([0.5, 3.0]) if case % 3 == 0 and rng.random() < 0.3 else 1.0)
+            if all(values[d] == x for d, x in hit.items()):
+                v = f * (3 if case % 2 else 0.25) if f else rng.choice([0.0, 5.0])
+            leaves.append((values, f, v))
+        if case == 7:
+            leaves = [(x, f, f) for x, f, _ in leaves]
+        codes = np.array([x for x, _, _ in leaves])
+        got = attribution.riskloc(codes, shape, np.array([f for _, f, _ in leaves]), np.array([v for _, _, v in leaves]))
+        want = plain_causes(leaves)
+        found += len(want)
+        assert [(dict(zip(dims, values)), round(ep, 9)) for dims, values, _, ep in got] == want
+    assert found > 20
+    assert attribution.cut_point(np.array([-0.5, -0.3, 0.3, 0.5])) == -0.5
+
+
+def test_limit_keeps_groups(spark):
+    rows = spark.createDataFrame([(k, f"2024-01-0{d} 00:00:00") for k in "abc" for d in (1, 2, 3)], "k string, t string").withColumn("t", F.col("t").cast("timestamp"))
+    fields = [{"name": "n", "op": "count"}]
+    assert aggregate(rows, fields, ["k"], limit=1).count() == 3
+    window = windows.assigned("fixed", F.col("t"), 1, "day")
+    got = aggregate(rows, fields, ["k"], limit=2, window=window).select("k", F.dayofmonth("window.start").alias("d")).collect()
+    assert sorted(map(tuple, got)) == [(k, d) for k in "abc" for d in (1, 2)]
+    assert aggregate(rows, fields, limit=2, window=window).count() == 2
+
+
 def test_attribution_parameters(spark):
     kind = "region string, category string, sales double"
     base = spark.createDataFrame([(r, c, 100.0) for r in "abcdefghijklm" for c in "xy"], kind)

@@ -53,7 +53,7 @@ def r(c: Column, n: int = 6) -> Column:
     return F.round(c, n)
 
 
-# --- aggregation through a declared pipeline -----------------------------------------------------------------------
+# --- aggregation through declared steps ----------------------------------------------------------------------------
 
 
 @query("""
@@ -236,10 +236,38 @@ def agg_multi_input(spark, sf_dir):
     return aggregate(inputs, [{"name": "n_orders", "op": "count", "input": "orders"}, {"name": "n_customers", "op": "count", "input": "customers"}], ["k"])
 
 
-@query("""SELECT o_custkey, round(sum(o_totalprice) / count(*), 2) AS mean FROM orders GROUP BY o_custkey HAVING count(*) > 10 ORDER BY o_custkey LIMIT 20""")
+@query("""SELECT o_custkey, round(sum(o_totalprice) / count(*), 5) AS mean FROM orders GROUP BY o_custkey HAVING count(*) > 10""")
 def agg_post_filter_select_limit(spark, sf_dir):
     out = aggregate(table(spark, sf_dir, "orders"), [{"name": "n", "op": "count"}, {"name": "total", "op": "sum", "field": "o_totalprice"}], ["o_custkey"], filter="n > 10", select=[{"name": "mean", "expression": "total / n"}], limit=20)
-    return out.withColumn("mean", r(F.col("mean"), 2))
+    return out.withColumn("mean", r(F.col("mean"), 5))
+
+
+@query("""SELECT event_type, strftime(w, '%Y-%m-%d') AS day, n FROM (
+SELECT event_type, date_trunc('day', ts) AS w, count(*) AS n, row_number() OVER (PARTITION BY event_type ORDER BY date_trunc('day', ts)) AS place FROM events GROUP BY 1, 2) WHERE place <= 3""")
+def agg_limit_per_key(spark, sf_dir):
+    out = aggregate(events(spark, sf_dir), [{"name": "n", "op": "count"}], ["event_type"], limit=3, window=assigned("fixed", F.col(TIME), 1, "day"))
+    return out.select("event_type", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
+def agg_grouping_sets(spark, sf_dir):
+    return sqlx.run(spark, "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())", {"lineitem": table(spark, sf_dir, "lineitem")})
+
+
+@query("""SELECT l_returnflag, round(quantile_cont(l_quantity, 0.25), 6) AS q25, array_to_string(list_sort(list(DISTINCT l_linestatus)), ',') AS statuses,
+count(DISTINCT l_partkey) AS parts, list_sum(list(DISTINCT l_linenumber))::BIGINT AS lines FROM lineitem GROUP BY 1""")
+def sql_quantile_distinct(spark, sf_dir):
+    sql = """SELECT l_returnflag, round(QUANTILE(l_quantity, 0.25), 6) AS q25, array_join(MDT_ARRAY_AGG_DISTINCT_STRING(l_linestatus), ',') AS statuses,
+    MDT_COUNT_DISTINCT_INT64(l_partkey) AS parts, CAST(aggregate(MDT_ARRAY_AGG_DISTINCT_INT64(CAST(l_linenumber AS BIGINT)), 0L, (a, x) -> a + x) AS BIGINT) AS lines FROM lineitem GROUP BY 1"""
+    return sqlx.run(spark, sql, {"lineitem": table(spark, sf_dir, "lineitem")})
+
+
+@query("""SELECT p_partkey, round(sin(p_size), 9) AS a, round(cos(p_size), 9) AS b, round(tan(p_size / 100.0), 9) AS c, round(atan2(p_size, 7), 9) AS d, round(asin(p_size / 100.0), 9) AS e,
+round(sinh(p_size / 50.0), 9) AS f, round(degrees(p_size), 9) AS g, round(radians(p_size), 9) AS h, round(cbrt(p_size), 9) AS i, round(log2(p_size), 9) AS j, sign(p_size - 25)::INTEGER AS k FROM part""")
+def sql_trigonometry(spark, sf_dir):
+    sql = """SELECT p_partkey, round(sin(p_size), 9) AS a, round(cos(p_size), 9) AS b, round(tan(p_size / 100.0D), 9) AS c, round(atan2(p_size, 7), 9) AS d, round(asin(p_size / 100.0D), 9) AS e,
+    round(sinh(p_size / 50.0D), 9) AS f, round(degrees(p_size), 9) AS g, round(radians(p_size), 9) AS h, round(cbrt(p_size), 9) AS i, round(log2(p_size), 9) AS j, CAST(sign(p_size - 25) AS INT) AS k FROM part"""
+    return sqlx.run(spark, sql, {"part": table(spark, sf_dir, "part")})
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")

@@ -149,7 +149,8 @@ def aggregate(inputs: dict[str, DataFrame] | DataFrame, fields: list[dict], grou
     """Groups one or several inputs by the same fields; a field with `input` counts only that input's rows.
 
     Several inputs meet in one union with their name in __input, so a group without rows of an input still appears.
-    A window (operators.windows.assigned) is one more group field, named window.
+    A window (operators.windows.assigned) is one more group field, named window. limit: the most rows of each group, of
+    its first windows.
     """
     group_fields = group_fields or []
     if isinstance(inputs, dict):
@@ -174,8 +175,10 @@ def aggregate(inputs: dict[str, DataFrame] | DataFrame, fields: list[dict], grou
         out = project(out, [*({"name": g} for g in group_fields), *select])
     hidden = [f["name"] for f in fields if f.get("ignore")]
     out = out.drop(*hidden)
-    if limit is not None:
-        out = out.orderBy(*group_fields).limit(limit)
+    if limit is not None and window is not None:
+        # Without windows a group has one row.
+        keys = [g for g in group_fields if g != "window"]
+        out = first_rows(out, keys, [F.col("window").asc()], limit) if keys else out.orderBy("window").limit(limit)
     if flatten:
         from .select import flattened
 

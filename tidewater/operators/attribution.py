@@ -43,7 +43,7 @@ def exhaustive(rows: DataFrame, dims: list[str], max_layer: int = 3, top: int =
 
 
 def adtributor(rows: DataFrame, dims: list[str], teep: float = 0.1, tep: float = 0.67, top: int = 3) -> DataFrame:
-    """For each dimension the values that explain the change, ranked by their Jensen-Shannon surprise."""
+    """For each dimension the values that explain the change, the most surprising first (Jensen-Shannon)."""
     total = F.broadcast(rows.agg(F.sum("f").alias("tf"), F.sum("v").alias("tv")))
     parts = None
     for d in dims:
@@ -57,8 +57,9 @@ def adtributor(rows: DataFrame, dims: list[str], teep: float = 0.1, tep: float =
     x = x.withColumn("before", F.coalesce(F.sum(taken).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     # Visited until the explanatory power taken so far passes tep.
     x = x.filter(F.col("before") <= tep)
-    got = x.groupBy("dim").agg(F.sum("surprise").alias("surprise"), F.sum(taken).alias("ep"), F.array_sort(F.collect_list(F.when(F.col("ep") > teep, F.col("value")))).alias("values"))
-    return got.filter(F.col("ep") > tep).orderBy(F.col("surprise").desc(), "dim").limit(top).select("dim", F.array_join("values", ",").alias("slice_values"), "ep", "surprise")
+    got = x.groupBy("dim").agg(F.sum("surprise").alias("surprise"), F.sum(taken).alias("ep"), F.array_sort(F.collect_list(F.when(F.col("ep") > teep, F.struct((-F.col("surprise")).alias("by"), F.coalesce("value", F.lit("null")).alias("value"))))).alias("values"))
+    values = F.array_join(F.transform("values", lambda v: v["value"]), ",")
+    return got.filter(F.col("ep") > tep).orderBy(F.col("surprise").desc(), "dim").limit(top).select("dim", values.alias("slice_values"), "ep", "surprise")
 
 
 # --- RiskLoc ------------------------------------------------------------------------------------------------------
@@ -70,48 +71,61 @@ def deviation(f: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def cut_point(d: np.ndarray) -> float:
+    """Where abnormal deviations begin: the nearer to zero of the sixth distinct one from either end (ties: the lower),
+    on the other side of zero."""
     u = np.unique(d)
     lo, hi = u[min(5, len(u) - 1)], u[max(len(u) - 6, 0)]
-    return -float(lo if abs(lo) < abs(hi) else hi)
+    return -float(lo if abs(lo) <= abs(hi) else hi)
 
 
-def riskloc(codes: np.ndarray, sizes: list[int], f: np.ndarray, v: np.ndarray, risk: float = 0.5, pep: float = 0.02, prune: bool = True, max_layer: int = 3, top: int = 3) -> list[tuple[tuple[int, ...], tuple[int, ...], float, float]]:
-    """(dimensions, values, risk, share of the change) of each root cause. codes: one column per dimension."""
-    d = deviation(f, v)
-    if not len(d):
-        return []
+def abnormal(d: np.ndarray, idle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which leaves are abnormal, and the weight of each in its part; idle: leaves without any value."""
     cut = cut_point(d)
-    right = not np.signbit(cut)
-    odd = d > cut if right else d < cut
-    if not odd.any():
-        odd = d > 0 if np.abs(d[d > 0]).sum() >= np.abs(d[d < 0]).sum() else d < 0
+    odd = d < cut if np.signbit(cut) else d > cut
+    if not odd.any() and d.any():
+        # Few distinct deviations can put the cut beyond all of them; then all on the heavier side of zero are abnormal.
         cut = 0.0
-    weight = np.where(odd, np.minimum(1, np.abs(d)), np.where((f == 0) & (v == 0), 0, np.minimum(1, np.abs(cut - d))))
-    change = v - f
-    total = change[odd].sum()
-    if total < 0:
-        change, total = -change, -total
+        odd = d > 0 if d[d > 0].sum() > -d[d < 0].sum() else d < 0
+    weight = np.where(odd, np.abs(d), np.where(idle, 0, np.abs(cut - d)))
+    return odd, np.minimum(weight, 1)
+
+
+def riskloc(codes: np.ndarray, sizes: list[int], f: np.ndarray, v: np.ndarray, risk: float = 0.5, pep: float = 0.02, max_layer: int = 3, top: int = 3) -> list[tuple[tuple[int, ...], tuple[int, ...], float, float]]:
+    """(dimensions, values, risk, share of the change) of each root cause. codes: one column per dimension.
+
+    A leaf's power is its share of the total change; without a change there are no findings. Powers change sign if the
+    abnormal leaves' add up to less than nothing. A slice's power is that of all its leaves that no finding holds yet.
+    """
+    if not len(f) or v.sum() == f.sum():
+        return []
+    d = deviation(f, v)
+    odd, weight = abnormal(d, (f == 0) & (v == 0))
+    power = (v - f) / (v.sum() - f.sum())
+    if power[odd].sum() < 0:
+        power = -power
+    least = pep * power[odd].sum()
     alive, out = np.ones(len(d), bool), []
-    while len(out) < top and total > 0 and change[odd & alive].sum() >= pep * total:
+    while len(out) < top and power[odd & alive].sum() >= least:
         best = None
         for layer in range(1, min(max_layer, codes.shape[1]) + 1):
-            bar = pep * total
+            bar = least
             for dims in combinations(range(codes.shape[1]), layer):
                 key = np.ravel_multi_index([codes[:, i] for i in dims], [sizes[i] for i in dims])
                 _, key = np.unique(key, return_inverse=True)
                 n = int(key.max()) + 1
                 add = lambda x: np.bincount(key[alive], x[alive], n)  # noqa: E731, B023
-                hits, power = add(odd.astype(float)), add(np.where(odd, change, 0))
-                order = [i for i in np.argsort(-power, kind="stable") if hits[i] > 0 and power[i] > bar]
+                hits, own = add(odd.astype(float)), add(power)
                 w_odd, w_rest = add(np.where(odd, weight, 0)), add(np.where(odd, 0, weight))
-                for i in order:
-                    if power[i] <= bar:
+                for i in np.argsort(-own, kind="stable"):
+                    if own[i] <= bar:
                         break
+                    if not hits[i]:
+                        continue
                     rows = alive & (key == i)
                     score = w_odd[i] / (w_odd[i] + 1 + w_rest[i]) - ripple(f[rows], v[rows], d[rows])
                     if score >= risk:
-                        bar = power[i]
-                        best = (dims, tuple(int(codes[np.flatnonzero(rows)[0], x]) for x in dims), float(score), float(power[i] / total), rows)
+                        bar = own[i]
+                        best = (dims, tuple(int(codes[np.flatnonzero(rows)[0], x]) for x in dims), float(score), float(own[i]), rows)
                         break
             if best:
                 break
@@ -123,13 +137,17 @@ def riskloc(codes: np.ndarray, sizes: list[int], f: np.ndarray, v: np.ndarray, r
 
 
 def ripple(f: np.ndarray, v: np.ndarray, d: np.ndarray) -> float:
-    """How unevenly a slice's leaves moved: deviations from a common rate over those from the baseline."""
+    """How unevenly a slice's leaves moved: deviations from their common rate over those from the baseline, of the leaves
+    with both values."""
     ok = (f != 0) & (v != 0)
-    if not ok.any() or f.sum() == 0:
+    base = np.abs(d[ok]).mean() if ok.any() else 0.0
+    if not base:
         return 0.0
-    a = f * (v.sum() / f.sum())
-    base = np.abs(d[ok]).mean()
-    return float(np.abs(deviation(v[ok], a[ok])).mean() / base) if base else 0.0
+    f, v = f[ok], v[ok]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        moved = f * v.sum() / f.sum()
+        apart = 2 * (moved - v) / (moved + v)
+    return float(np.abs(np.where(np.isfinite(apart), apart, 0.0)).mean() / base)
 
 
 def locate(rows: DataFrame, dims: list[str], **how: float) -> DataFrame:
@@ -146,4 +164,5 @@ def locate(rows: DataFrame, dims: list[str], **how: float) -> DataFrame:
             out.append((k + 1, "&".join(f"{dims[i]}={cats[i].categories[x]}" for i, x in zip(own, values, strict=True)), len(own), f[m].sum(), v[m].sum(), risk, ep))
         yield pd.DataFrame(out, columns=["rank", "slice", "layer", "f", "v", "risk", "ep"])
 
-    return rows.coalesce(1).mapInPandas(run, "rank int, slice string, layer int, f double, v double, risk double, ep double")
+    # The search holds all leaves; what comes before stays spread.
+    return rows.repartition(1).mapInPandas(run, "rank int, slice string, layer int, f double, v double, risk double, ep double")

@@ -51,8 +51,6 @@ TEMPLATES = {
     "MDT_GREATEST_INT64": "greatest({all})", "MDT_GREATEST_FLOAT64": "greatest({all})", "MDT_LEAST_INT64": "least({all})", "MDT_LEAST_FLOAT64": "least({all})", "MDT_GENERATE_UUID": "uuid()",
     "MDT_CONTAINS_ALL_INT64": "(size(array_except({1}, {0})) = 0)", "MDT_CONTAINS_ALL_STRING": "(size(array_except({1}, {0})) = 0)", "MDT_ARRAY_AGG_INT64": "collect_list({0})", "MDT_ARRAY_AGG_STRING": "collect_list({0})",
     **{f"MDT_ARRAY_AGG_DISTINCT_{t}": "array_sort(collect_set({0}))" for t in ("INT64", "STRING", "FLOAT64")}, **{f"MDT_COUNT_DISTINCT_{t}": "count(DISTINCT {0})" for t in ("INT64", "STRING", "FLOAT64")},
-    # Older names of this engine.
-    "TRUNC_NUMBER": "(sign({0}) * floor(abs({0}) * pow(10, {1})) / pow(10, {1}))", "IFNULL_TEXT": "coalesce({all})", "ARRAY_COMPACT_RUNS": "filter({0}, (__x, __i) -> __i = 0 OR NOT (__x <=> get({0}, __i - 1)))",
 }
 TEMPLATES["MDT_COSINE_SIMILARITY"] = TEMPLATES["COSINE_SIMILARITY"]
 

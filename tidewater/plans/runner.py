@@ -1,4 +1,4 @@
-"""Declared pipelines: sources, transforms and sinks as a graph of named steps, each a lazy DataFrame."""
+"""Declared jobs: sources, transforms and sinks as a graph of named steps, each a lazy DataFrame."""
 
 from __future__ import annotations
 
