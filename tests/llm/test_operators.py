@@ -453,6 +453,7 @@ def test_packing(spark, odd, nothing):
 
 def test_packing_deals_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_BYTES", 1000)
+    monkeypatch.setattr(packing, "SHARDS_PER_TASK", 1)
     docs = spark.createDataFrame([(i, "word " * 100) for i in range(20)], "doc_id long, text string")
     assert len({r["sequence_id"] >> 32 for r in packing.pack(docs, with_ids=False).collect()}) > 3
 
@@ -479,6 +480,20 @@ def test_packing_takes_all_neighbours():
     assert all(d % 2 == 0 for d in seq[:100])
 
 
+def test_packing_brings_related_documents_together(spark):
+    """Pairs of texts that share rare words stand in one sequence, though hundreds of others lie between their doc_ids."""
+    rng = random.Random(5)
+    rare = [f"{rng.randrange(10**9):x}" for _ in range(4000)]
+    topics = [" ".join(rng.choices(rare, k=40)) for _ in range(100)]
+    docs = spark.createDataFrame([(i, "the of and to " + topics[i % 100]) for i in range(200)], "doc_id long, text string")
+    held = defaultdict(set)
+    rows = packing.pack(docs, shard_docs=20, with_ids=False).collect()
+    for r in rows:
+        held[r["doc_id"]].add(r["sequence_id"] >> 32)
+    assert len(set.union(*held.values())) > 1
+    assert sum(bool(held[i] & held[i + 100]) for i in range(100)) >= 90
+
+
 def plain_top(rows, is_query, k=10):
     good = [(i, [math.floor(1024 * float(x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = set()

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import pairwise
 
@@ -61,8 +61,9 @@ def encoder(name: str, rule: str, end_id: int) -> Encoder:
     return kept_by_worker("encoder", (name, rule, end_id), lambda: Encoder(name, rule, end_id))
 
 
-def encoded(docs: DataFrame, tokenizer: str, rule: str, end_id: int, text: str = "text") -> DataFrame:
-    """docs without the text, with ids (little-endian; 2 bytes each if the vocabulary allows, see id_type)."""
+def encoded(docs: DataFrame, tokenizer: str, rule: str, end_id: int, text: str = "text", more: Callable | None = None, names: tuple[str, ...] = ()) -> DataFrame:
+    """docs without the text, with ids (little-endian; 2 bytes each if the vocabulary allows, see id_type) and, if asked
+    for, columns of doubles by more(ids, offsets)."""
     keep = [c for c in docs.columns if c != text]
     kind = id_type(tokenizer)
 
@@ -71,9 +72,9 @@ def encoded(docs: DataFrame, tokenizer: str, rule: str, end_id: int, text: str =
         for batch in batches:
             for part, data, at in in_pieces(batch.rename_columns([*keep, "text"])):
                 ids, offsets = tok.batch(data, at)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), binaries(ids.astype(kind), offsets)], [*keep, "ids"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), binaries(ids.astype(kind), offsets), *(map(pa.array, more(ids, offsets)) if more else ())], [*keep, "ids", *names])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "ids binary"])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "ids binary", *(f"{c} double" for c in names)])
     return docs.select(*keep, F.col(text)).mapInArrow(rows, schema)
 
 
