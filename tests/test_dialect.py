@@ -104,3 +104,16 @@ def test_unnest(spark, rows, sql, want):
 def test_ordered_aggregates(spark, rows):
     sql = "SELECT STRING_AGG(action, '-' ORDER BY ts DESC) AS a, STRING_AGG(action ORDER BY action, ts) AS b, ARRAY_AGG(x ORDER BY ts DESC) AS c, STRING_AGG(DISTINCT k) AS d FROM rows WHERE k = 'u'"
     assert list(sqlx.run(spark, sql, {"rows": rows}).first()) == ["buy-view-cart-view", "buy,cart,view,view", [3.0, 4.0, 2.0, 1.0], "u"]
+
+
+def test_windows_and_qualify_reject(spark):
+    for sql in ("SELECT 1 QUALIFY 1 = 1", "SELECT count(*) FROM t GROUP BY TUMBLE(ts, INTERVAL '1' MONTH)", "SELECT count(*) FROM t GROUP BY HOP(ts, INTERVAL '1' DAY)", "SELECT count(*) FROM t GROUP BY SESSION(ts, x)"):
+        with pytest.raises(DialectError):
+            translate(spark, sql)
+
+
+def test_qualify_with_window_distinct_and_order(spark):
+    spark.range(10).selectExpr("id", "id % 3 AS g").createOrReplaceTempView("numbers")
+    run = lambda sql: [tuple(x) for x in spark.sql(translate(spark, sql)).collect()]
+    assert run("SELECT DISTINCT g FROM numbers QUALIFY count(*) OVER w > 3 WINDOW w AS (PARTITION BY g)") == [(0,)]
+    assert run("SELECT id FROM (SELECT * FROM numbers QUALIFY row_number() OVER (PARTITION BY g ORDER BY id) = 1) WHERE g > 0 ORDER BY id DESC LIMIT 5") == [(2,), (1,)]

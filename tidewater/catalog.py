@@ -223,10 +223,13 @@ def agg_simple_regression(spark, sf_dir):
     return out.select("l_returnflag", r(F.col("g.Slope"), 4).alias("slope"), r(F.col("g.Intercept"), 2).alias("icpt"), r(F.col("g.RMSE"), 2).alias("rmse"), F.col("g.N").alias("n"))
 
 
-@query()
+@query("""WITH m AS (SELECT l_returnflag, count(*) AS n, avg(l_extendedprice) AS y, avg(l_quantity) AS x1, avg(l_discount) AS x2, var_pop(l_extendedprice) AS yy, var_pop(l_quantity) AS v1, var_pop(l_discount) AS v2,
+covar_pop(l_quantity, l_discount) AS c, covar_pop(l_extendedprice, l_quantity) AS y1, covar_pop(l_extendedprice, l_discount) AS y2 FROM lineitem GROUP BY 1),
+b AS (SELECT *, (y1 * v2 - y2 * c) / (v1 * v2 - c * c) AS b1, (y2 * v1 - y1 * c) / (v1 * v2 - c * c) AS b2 FROM m)
+SELECT l_returnflag, round(y - b1 * x1 - b2 * x2, 2) AS b0, round(b1, 2) AS b1, round(b2, 2) AS b2, round(sqrt(yy - b1 * y1 - b2 * y2), 2) AS rmse, n FROM b""")
 def agg_regression(spark, sf_dir):
     out = aggregate(table(spark, sf_dir, "lineitem"), [{"name": "g", "op": "regression", "field": "l_extendedprice", "xFields": ["l_quantity", "l_discount"]}], ["l_returnflag"])
-    return out.select("l_returnflag", F.transform("g.Coefficients", lambda x: F.round(x, 3)).alias("coef"), r(F.col("g.RMSE"), 3).alias("rmse"), F.col("g.N").alias("n"))
+    return out.select("l_returnflag", *[r(F.get("g.Coefficients", F.lit(i)), 2).alias(f"b{i}") for i in range(3)], r(F.col("g.RMSE"), 2).alias("rmse"), F.col("g.N").alias("n"))
 
 
 @query("""SELECT c_custkey AS k, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_orders, 1::BIGINT AS n_customers FROM customer
@@ -600,7 +603,18 @@ def seq_retention(spark, sf_dir):
     return histories(spark, sf_dir).select("user_id", got.alias("g")).select("user_id", *[F.get("g", F.lit(i)).alias(n) for i, n in enumerate("abc")])
 
 
-@query()
+#: A user's events in the order of histories(), for folds by recursion.
+FOLD = """WITH RECURSIVE o AS (SELECT user_id, event_type AS e, value AS x, epoch_us(ts) // 1000000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) AS i FROM events),
+"""
+
+
+@query(
+    FOLD
+    + """s AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::BIGINT AS c, 0 AS best FROM o UNION ALL
+SELECT o.user_id, o.i, CASE WHEN e = 'view' THEN greatest(a, t) ELSE a END, CASE WHEN e = 'click' AND t - a <= 604800 THEN greatest(b, a) ELSE b END, CASE WHEN e = 'purchase' AND t - b <= 604800 THEN greatest(c, b) ELSE c END,
+greatest(best, CASE WHEN e = 'view' THEN 1 WHEN e = 'click' AND t - a <= 604800 THEN 2 WHEN e = 'purchase' AND t - b <= 604800 THEN 3 ELSE 0 END) FROM s JOIN o ON o.user_id = s.user_id AND o.i = s.i + 1)
+SELECT user_id, max(best)::INTEGER AS step FROM s GROUP BY 1"""
+)
 def seq_funnel(spark, sf_dir):
     return histories(spark, sf_dir).select("user_id", seq.seq_funnel(F.col("rows"), "t", 86400 * 7, [is_type(k) for k in ("view", "click", "purchase")]).alias("step"))
 
@@ -621,13 +635,24 @@ def seq_match_steps(spark, sf_dir):
     return histories(spark, sf_dir).select("user_id", F.explode(got).alias("m")).select("user_id", "m.*")
 
 
-@query()
+@query(
+    FOLD
+    + """s AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 0::DOUBLE AS mean, 0::DOUBLE AS cum, 0::DOUBLE AS low, 0::DOUBLE AS high, 0::DOUBLE AS up, 0::DOUBLE AS down FROM o UNION ALL
+SELECT user_id, i, m, z, least(low, z), greatest(high, z), u, d FROM (SELECT o.user_id, o.i, mean + (x - mean) / o.i AS m, cum + x - (mean + (x - mean) / o.i) - 1 AS z, low, high, greatest(0, up + x - 55) AS u, greatest(0, down + 45 - x) AS d FROM s JOIN o ON o.user_id = s.user_id AND o.i = s.i + 1))
+SELECT user_id, coalesce(min(i) FILTER (cum - low > 100 OR high - cum > 100), 0)::INTEGER AS page_hinkley, coalesce(min(i) FILTER (up > 100 OR down > 100), 0)::INTEGER AS cusum FROM s GROUP BY 1"""
+)
 def seq_drift(spark, sf_dir):
     xs = F.transform("rows", lambda x: x["value"])
     return histories(spark, sf_dir).select("user_id", seq.seq_page_hinkley(xs, 1.0, 100.0).alias("page_hinkley"), seq.seq_cusum(xs, 50.0, 5.0, 100.0).alias("cusum"))
 
 
-@query()
+@query(
+    FOLD
+    + """s AS (SELECT user_id, i, x::DOUBLE AS e, x::DOUBLE AS l, NULL::DOUBLE AS d FROM o WHERE i = 1 UNION ALL
+SELECT o.user_id, o.i, 0.3::DOUBLE * x + 0.7::DOUBLE * s.e, CASE WHEN o.i = 2 THEN x ELSE 0.3::DOUBLE * x + 0.7::DOUBLE * (l + d) END,
+CASE WHEN o.i = 2 THEN x - l ELSE 0.1::DOUBLE * (0.3::DOUBLE * x + 0.7::DOUBLE * (l + d) - l) + 0.9::DOUBLE * d END FROM s JOIN o ON o.user_id = s.user_id AND o.i = s.i + 1)
+SELECT user_id, round(arg_max(e, i), 6) AS smooth, round(arg_max(l + 2 * coalesce(d, 0), i), 6) AS holt FROM s GROUP BY 1"""
+)
 def seq_smooth(spark, sf_dir):
     xs = F.transform("rows", lambda x: x["value"])
     return histories(spark, sf_dir).select("user_id", r(seq.seq_exp_smooth(xs, 0.3)).alias("smooth"), r(seq.seq_holt(xs, 0.3, 0.1, 2)).alias("holt"))
@@ -651,10 +676,13 @@ def mat_multiply_mahalanobis(spark, sf_dir):
     return out.select("vec_id", r(F.get("x", F.lit(0)), 5).alias("x"), r(F.col("m"), 5).alias("m"))
 
 
-@query()
+@query("""WITH o AS (SELECT user_id, value::DOUBLE AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS x FROM events), u AS (SELECT *, x - avg(x) OVER (PARTITION BY user_id) AS u FROM o),
+m AS (SELECT user_id, count(*) AS n, avg(x) AS m, sum(y) AS y, sum(u * u) AS uu, sum(u ** 4) AS u4, sum(u * y) AS uy, sum(u * u * y) AS uuy FROM u GROUP BY 1 HAVING count(*) > 2),
+b AS (SELECT *, (uuy - uu * y / n) / (u4 - uu * uu / n) AS b2, uy / uu AS b1 FROM m)
+SELECT user_id, round((y - b2 * uu) / n - b1 * m + b2 * m * m, 4) + 0.0::DOUBLE AS c0, round(b1 - 2 * b2 * m, 4) + 0.0::DOUBLE AS c1, round(b2, 4) + 0.0::DOUBLE AS c2 FROM b""")
 def poly_fit(spark, sf_dir):
     fit = matrix.poly_fit(2)(F.transform("rows", lambda x: x["value"]), F.transform("rows", lambda x, i: i.cast("double")))
-    return histories(spark, sf_dir).select("user_id", F.transform(fit, lambda x: F.round(x, 4)).alias("coef"))
+    return histories(spark, sf_dir).select("user_id", fit.alias("fit")).filter("fit IS NOT NULL").select("user_id", *[(r(F.get("fit", F.lit(i)), 4) + 0.0).alias(f"c{i}") for i in range(3)])
 
 
 # --- event-time windows --------------------------------------------------------------------------------------------
@@ -842,3 +870,44 @@ def seq_sql(spark, sf_dir):
 def linear_reg_sql(spark, sf_dir):
     fits = sqlx.run(spark, "SELECT l_returnflag, LINEAR_REG(l_extendedprice, ARRAY[l_quantity]) AS m FROM lineitem GROUP BY l_returnflag", {"lineitem": table(spark, sf_dir, "lineitem")})
     return sqlx.per_record(spark, "SELECT round(m[1], 2) AS b0, round(m[2], 2) AS b1 FROM INPUT", fits, keep=["l_returnflag"])
+
+
+@query("""SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H') AS start, event_type, count(*) AS n, round(sum(value), 4) AS s FROM events GROUP BY ALL""")
+def sql_tumble(spark, sf_dir):
+    sql = "SELECT DATE_FORMAT(TUMBLE_START(ts, INTERVAL '6' HOUR), 'yyyy-MM-dd HH') AS start, event_type, count(*) AS n, round(sum(value), 4) AS s FROM events GROUP BY TUMBLE(ts, INTERVAL '6' HOUR), event_type"
+    return sqlx.run(spark, sql, {"events": table(spark, sf_dir, "events")})
+
+
+@query("""SELECT strftime(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') - to_days(k::INTEGER), '%Y-%m-%d') AS start, strftime(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') - to_days(k::INTEGER - 2), '%Y-%m-%d') AS stop, count(*) AS n FROM events, range(2) t(k) GROUP BY ALL""")
+def sql_hop(spark, sf_dir):
+    hop = "(ts, INTERVAL '1' DAY, INTERVAL '2' DAY)"
+    sql = f"SELECT DATE_FORMAT(HOP_START{hop}, 'yyyy-MM-dd') AS start, DATE_FORMAT(HOP_END{hop}, 'yyyy-MM-dd') AS stop, count(*) AS n FROM events GROUP BY HOP{hop}"
+    return sqlx.run(spark, sql, {"events": table(spark, sf_dir, "events")})
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events),
+s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS stop, count(*) AS n FROM s GROUP BY user_id, k""")
+def sql_session(spark, sf_dir):
+    gap = "(ts, INTERVAL 6 HOUR)"
+    sql = f"SELECT user_id, DATE_FORMAT(SESSION_START{gap}, 'yyyy-MM-dd HH:mm:ss') AS start, DATE_FORMAT(SESSION_END{gap}, 'yyyy-MM-dd HH:mm:ss') AS stop, count(*) AS n FROM events GROUP BY user_id, SESSION{gap}"
+    return sqlx.run(spark, sql, {"events": table(spark, sf_dir, "events")})
+
+
+QUALIFIED = "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS place FROM events QUALIFY place <= 3 UNION ALL SELECT user_id, count(*), 0 FROM events GROUP BY user_id QUALIFY rank() OVER (ORDER BY count(*) DESC) <= 5"
+
+
+@query(QUALIFIED)
+def sql_qualify(spark, sf_dir):
+    return sqlx.run(spark, QUALIFIED, {"events": table(spark, sf_dir, "events")})
+
+
+@query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, unnest(range(1, len(string_split(p_name, ' ')) + 1))::INTEGER AS place FROM part")
+def sql_unnest_ordinality(spark, sf_dir):
+    return sqlx.run(spark, "SELECT p_partkey, w.word, w.place FROM part, UNNEST(SPLIT(p_name, ' ')) WITH ORDINALITY AS w(word, place)", {"part": table(spark, sf_dir, "part")})
+
+
+@query("""SELECT event_id, floor(epoch_us(ts) / 86400e6) AS day, floor((epoch_us(ts) - 1704067200000000) / 3.6e9) AS hours, floor((epoch_us(ts) - 1704067200000000) / 6e7) AS minutes, sign(value - 50)::DOUBLE AS side, round(cbrt(value), 6) AS root, round(log2(value + 1), 6) AS bits FROM events""")
+def expr_timestamps_roots(spark, sf_dir):
+    fields = [("day", "timestamp_to_date(ts)"), ("hours", "timestamp_diff_hour(ts, 1704067200000000)"), ("minutes", "timestamp_diff_minute(ts, 1704067200000000)"), ("side", "signum(value - 50)"), ("root", "cbrt(value)"), ("bits", "log2(value + 1)")]
+    out = select(table(spark, sf_dir, "events"), [{"name": "event_id"}, *({"name": n, "expression": e} for n, e in fields)])
+    return out.withColumn("root", r(F.col("root"))).withColumn("bits", r(F.col("bits")))

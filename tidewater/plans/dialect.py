@@ -22,6 +22,9 @@ COMMA = "','"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
+AFTER_QUALIFY = {"ORDER", "LIMIT", "OFFSET", "UNION", "INTERSECT", "EXCEPT", "MINUS", ";"}
+
+
 class DialectError(ValueError):
     pass
 
@@ -468,6 +471,35 @@ def beta_sample(spark: SparkSession, a: list[str], name: str) -> str:
 #: Words that may come after a table without a name.
 AFTER_TABLE = {"WHERE", "GROUP", "ORDER", "JOIN", "LEFT", "RIGHT", "FULL", "INNER", "CROSS", "LIMIT", "HAVING", "UNION", "INTERSECT", "EXCEPT", "LATERAL", "ON", "WINDOW"}
 
+# --- event-time windows ----------------------------------------------------------------------------------------------
+
+
+def duration(arg: str) -> str:
+    """An interval literal as the text that Spark's windows take; they have no calendar units."""
+    m = re.fullmatch(r"INTERVAL\s+(?:'\s*(\d+)\s*'|(\d+))\s+([A-Za-z]+)", arg.strip(), re.I)
+    unit = m.group(3).upper() if m else ""
+    if unit not in UNITS and unit.removesuffix("S") not in UNITS or unit.rstrip("S") in ("MONTH", "QUARTER", "YEAR"):
+        raise DialectError(f"a window takes an interval literal of a fixed unit: {arg}")
+    return f"'{m.group(1) or m.group(2)} {unit.lower()}'"
+
+
+@call("TUMBLE", "TUMBLE_START", "TUMBLE_END", "HOP", "HOP_START", "HOP_END", "SESSION", "SESSION_START", "SESSION_END")
+def windowed(spark: SparkSession, a: list[str], name: str) -> str:
+    """TUMBLE(ts, size [, offset]), HOP(ts, slide, size [, offset]) and SESSION(ts, gap) in GROUP BY; their _START and _END
+    in the select list, with the same arguments."""
+    kind, _, edge = name.partition("_")
+    least, most = {"TUMBLE": (2, 3), "HOP": (3, 4), "SESSION": (2, 2)}[kind]
+    if not least <= len(a) <= most:
+        raise DialectError(f"{name} takes {least} to {most} arguments")
+    times = [duration(x) for x in a[1:]]
+    if kind == "TUMBLE" and len(times) == 2:
+        times = [times[0], times[0], times[1]]
+    elif kind == "HOP":
+        times = [times[1], times[0], *times[2:]]
+    out = f"{'session_window' if kind == 'SESSION' else 'window'}({', '.join([a[0], *times])})"
+    return f"{out}.{edge.lower()}" if edge else out
+
+
 # --- rewriting -------------------------------------------------------------------------------------------------------
 
 
@@ -523,9 +555,39 @@ def unnested(rows: str, toks: list[str], at: int) -> tuple[str, int]:
     return out + " ", own[j] if j < len(own) else len(toks)
 
 
+def level(toks: list[str], at: int = 0) -> list[int]:
+    """The places from `at` on that no bracket encloses."""
+    out, depth = [], 0
+    for i in range(at, len(toks)):
+        depth -= toks[i] == ")"
+        if depth == 0 and toks[i] != ")":
+            out.append(i)
+        depth += toks[i] == "("
+    return out
+
+
+def qualified(toks: list[str]) -> list[str]:
+    """QUALIFY c becomes a column of the select, which an outer query filters on and leaves out."""
+    top = level(toks)
+    at = next((i for i in top if toks[i].upper() == "QUALIFY"), None)
+    if at is None:
+        return toks
+    begin = max((i for i in top if i < at and toks[i].upper() == "SELECT"), default=None)
+    source = next((i for i in top if begin is not None and begin < i < at and toks[i].upper() == "FROM"), None)
+    if source is None:
+        raise DialectError("QUALIFY needs a SELECT with FROM before it")
+    ends = {word: next((i for i in top if i > at and toks[i].upper() in words), len(toks)) for word, words in (("rest", AFTER_QUALIFY), ("window", {*AFTER_QUALIFY, "WINDOW"}))}
+    items = "".join(toks[begin + 1 : source]).strip()
+    once = re.match(r"DISTINCT\s+", items, re.I)
+    items = items[once.end() :] if once else items
+    body = f"{''.join(toks[source:at])} {''.join(toks[ends['window'] : ends['rest']])}"
+    new = f"SELECT {'DISTINCT ' if once else ''}* EXCEPT (__qualify) FROM (SELECT {items}, ({''.join(toks[at + 1 : ends['window']]).strip()}) AS __qualify {body}) WHERE __qualify "
+    return qualified([*toks[:begin], *TOKEN.findall(new), *toks[ends["rest"] :]])
+
+
 def translate(spark: SparkSession, sql: str, subscripts: bool = False) -> str:
     """The statement for Spark. With subscripts, a[i] counts from 1 and is null beyond the end (a['k'] stays a map's)."""
-    toks, out, i = TOKEN.findall(sql), [], 0
+    toks, out, i = qualified(TOKEN.findall(sql)), [], 0
     inner = lambda a, b: translate(spark, "".join(toks[a:b]), subscripts)
     primary = None  # where in out the operand that a subscript would take begins
     before = 0  # where the last operand begins, which IN UNNEST takes
