@@ -33,7 +33,7 @@ SIGNATURE = BANDS * ROWS
 STEPS = (16, 32, 48, 64, 80)
 TOLERANCE = 1e-6
 BLOCK = 512
-#: A node with more edges than HEAVY_EDGES and than a HEAVY_NODES-th of all is heavy.
+#: A node with HEAVY_EDGES edges and a HEAVY_NODES-th of all ends of edges has its edges dealt into shares.
 HEAVY_EDGES, HEAVY_NODES = 2048, 1 << 15
 _A = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -161,7 +161,7 @@ def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def candidate_links(classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """a, b: forests of the class pairs that share a band and survive the posterior test."""
+    """a, b: forests of the class pairs that share a band and survive the posterior test, repeats included."""
     bands = classes.select("cls", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     member = bands.join(shared, "band").select("band", "cls", F.explode(blocks(F.col("size"), F.col("cls"), BLOCK)).alias("p"))
@@ -191,31 +191,34 @@ def candidate_links(classes: DataFrame, threshold: float, tolerance: float) -> D
                 a, b = np.array(links).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[a], cls[b])), pa.array(np.maximum(cls[a], cls[b]))], ["a", "b"])
 
-    return by_key(rows_in.select("unit", "cls", "sig"), "unit").mapInArrow(rows, "a long, b long").distinct()
+    return by_key(rows_in.select("unit", "cls", "sig"), "unit").mapInArrow(rows, "a long, b long")
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
     """node, root (the least node of its component) of every node of the edges a, b.
 
     Rounds of large-star and small-star: each node's larger neighbours, then its smaller ones, are tied to its least
-    neighbour, until nothing changes. A round's edges are written to the shared folder. Nodes with very many edges, at
-    most HEAVY_NODES, get their least neighbour by a broadcast, so that their edges stay where they are.
+    neighbour, until nothing changes. Each half's edges are written to the shared folder, so that plans stay small.
+    The edges of nodes with very many, a small and bounded number of nodes, are dealt into shares.
     """
     now = stage(edges.filter("a <> b").distinct(), label)
     heavy = max(HEAVY_EDGES, 2 * now.count() // HEAVY_NODES)
 
     def star(e: DataFrame, larger: bool) -> DataFrame:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if larger else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        many = F.broadcast(least.filter(F.col("n") > heavy).drop("n"))
-        tied = both.join(many, "a").unionByName(both.join(many, "a", "left_anti").join(least.filter(F.col("n") <= heavy).drop("n"), "a"))
-        out = tied.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if larger else tied.select("b", "m", "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.floor(F.count(F.lit(1)) / heavy).cast("int").alias("shares")).select("a", F.least("a", "m").alias("m"), "shares")
+        many = F.broadcast(least.filter("shares > 0").select("a", "shares"))
+        dealt = both.join(many, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("shares") + 1), F.lit(0)).cast("int").alias("share"))
+        tied = dealt.join(least.select("a", "m", F.explode(F.sequence(F.lit(0), "shares")).alias("share")), ["a", "share"])
+        out = tied.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if larger else tied.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*")
         return out.filter("a <> b").distinct()
 
     seen = None
     while True:
-        before, now = now, stage(star(star(now, True), False), label)
+        middle = stage(star(now, True), label)
+        before, now = now, stage(star(middle, False), label)
         unstage(before)
+        unstage(middle)
         # The sum of all edges' hashes is the same only when nothing moved.
         total = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if total == seen:
