@@ -559,9 +559,14 @@ def time_bucket(spark, sf_dir):
 # --- sequences -----------------------------------------------------------------------------------------------------
 
 
-def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user_id and its events in order, array<struct<t, event_id, event_type, value>>, t in seconds."""
-    item = F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), "event_id", "event_type", "value")
+def nearest_second(ts: Column) -> Column:
+    """Halves to the even second."""
+    return F.rint(F.unix_micros(ts) / 1e6).cast("long")
+
+
+def histories(spark: SparkSession, sf_dir: str, seconds: Callable[[Column], Column] = F.unix_seconds) -> DataFrame:
+    """user_id and its events in order, array<struct<t, event_id, event_type, value>>, t in seconds (the second begun)."""
+    item = F.struct(seconds(F.col("ts").cast("timestamp")).alias("t"), "event_id", "event_type", "value")
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("rows"))
 
 
@@ -590,7 +595,7 @@ def seq_collect_fold(spark, sf_dir):
 @query("""WITH o AS (SELECT user_id, epoch(ts)::BIGINT - lag(epoch(ts)::BIGINT) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT, event_id) AS gap FROM events)
 SELECT user_id, (1 + count(*) FILTER (gap > 86400))::INTEGER AS sessions FROM o GROUP BY 1""")
 def seq_split(spark, sf_dir):
-    return histories(spark, sf_dir).select("user_id", F.size(seq.seq_split(F.col("rows"), "t", 86400)).alias("sessions"))
+    return histories(spark, sf_dir, nearest_second).select("user_id", F.size(seq.seq_split(F.col("rows"), "t", 86400)).alias("sessions"))
 
 
 def is_type(kind: str) -> Callable[[Column], Column]:
